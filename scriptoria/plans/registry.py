@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import quantities
+from ..session import table
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    blocks = table(spark, root, "text_blocks").select(F.lit("text_blocks").alias("origin"), "doc_id", F.col("block_id").alias("row_id"), "text")
+    chunks = table(spark, root, "chunks").select(F.lit("chunks").alias("origin"), "doc_id", F.col("chunk_id").alias("row_id"), "text")
+    return blocks.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return quantities.find_foreign_quantities(_texts(spark, root), table(spark, root, "source_files"), table(spark, root, "sites"), table(spark, root, "unit_reference"))
+
+
+def p2_values(spark: SparkSession, root: str) -> DataFrame:
+    return quantities.quantities(_texts(spark, root), table(spark, root, "source_files"), table(spark, root, "sites"), table(spark, root, "unit_reference"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_values)}
 ORACLE: dict = {}

@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the executors see the same folder as the driver."""
+    env = spark.sparkContext.environment
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = env.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read one Parquet table of a data directory (a file or a directory of part files)."""
+    reachable(spark)
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
@@ -45,6 +55,7 @@ def distinct_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Project the named columns, so that extra columns of an input can't clash with internal ones."""
+    reachable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
