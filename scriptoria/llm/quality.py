@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,21 +152,22 @@ def chunk_counts(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "do
 
     Chunks loaded twice count once (the row of most characters, then of the larger
     record stands for the id); null and empty texts have counts of 0.  Rows with a
-    null id are kept as they are, each for itself.
+    null id are told apart by their document and text.
     """
     kinds = {c: chunks.schema[c].dataType.simpleString() for c in (id_col, doc_col, recorded_col)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(t or "") for t in batch.column(3).to_pylist()]
+            texts = batch.column(3).to_pylist()
+            rows = [text_counts(t or "") for t in texts]
             cols = list(zip(*rows)) if rows else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, doc_col, recorded_col, *COUNTS])
+            keys = [blake2b((t or "").encode(), digest_size=16).hexdigest() if i is None else None for i, t in zip(batch.column(0).to_pylist(), texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, doc_col, recorded_col, "_key", *COUNTS])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", " + ", ".join(f"{c} bigint" for c in COUNTS)
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", _key string, " + ", ".join(f"{c} bigint" for c in COUNTS)
     measured = require(chunks, id_col, doc_col, recorded_col, text_col).mapInArrow(run, schema)
     best = F.max(F.struct("n_chars", *COUNTS[1:], recorded_col)).alias("_m")
-    once = measured.filter(F.col(id_col).isNotNull()).groupBy(id_col, doc_col).agg(best).select(id_col, doc_col, f"_m.{recorded_col}", *(f"_m.{c}" for c in COUNTS))
-    return once.unionByName(measured.filter(F.col(id_col).isNull()))
+    return measured.groupBy(id_col, doc_col, "_key").agg(best).select(id_col, doc_col, f"_m.{recorded_col}", *(f"_m.{c}" for c in COUNTS))
 
 
 def document_statistics(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", recorded_col: str = "char_count") -> DataFrame:
