@@ -55,10 +55,11 @@ def tag_hits(text: Column, patterns: list[tuple[str, str]] = PATTERNS, **how) ->
     Of each normal form only the first hit by pattern order, then place, is kept.
     """
     none = F.array().cast("array<struct<start:int,prio:int,end:int,original:string,type:string,normalized:string>>")
-    hits = F.concat(none, *[
-        F.transform(spans(text, p), lambda m, n=n, name=name: F.struct(m["start"].alias("start"), F.lit(n).alias("prio"), m["end"].alias("end"), m["match"].alias("original"), F.lit(name).alias("type"), normalize_tag(m["match"], **how).alias("normalized")))
-        for n, (name, p) in enumerate(patterns)
-    ])
+
+    def hit(prio: int, kind: str):
+        return lambda m: F.struct(m["start"].alias("start"), F.lit(prio).alias("prio"), m["end"].alias("end"), m["match"].alias("original"), F.lit(kind).alias("type"), normalize_tag(m["match"], **how).alias("normalized"))
+
+    hits = F.concat(none, *[F.transform(spans(text, p), hit(n, kind)) for n, (kind, p) in enumerate(patterns)])
     first = F.aggregate(hits, none, lambda kept, h: F.when(F.exists(kept, lambda k: k["normalized"] == h["normalized"]), kept).otherwise(F.concat(kept, F.array(h))))
     return F.array_sort(first)
 

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .regex import ND, WS, is_upper, replace_all, replace_first, strip, strip_lines
 
@@ -33,7 +34,7 @@ PARAGRAPH_STARTS = rf"^{ND}+[.)]{WS}+|^[-•*]{WS}+|^[A-Z][^.!?]*:{WS}*$"
 EQUATIONS = [(r"\$[^$]+\$", "MATH"), (r"\\\([^)]+\\\)", "MATH"), (r"\\\[[^\]]+\\\]", "MATHBLOCK")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
@@ -106,14 +107,17 @@ _KEPT = "array<struct<mark:string,part:string>>"
 def protect_equations(text: Column) -> Column:
     """Struct of the text with placeholders for equations, and the array of (mark, part)."""
     state = F.struct(text.alias("text"), F.array().cast(_KEPT).alias("kept"))
-    for pattern, prefix in EQUATIONS:
-        found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
 
-        def step(s: Column, part: Column, prefix: str = prefix) -> Column:
+    def step(prefix: str):
+        def one(s: Column, part: Column) -> Column:
             mark = F.concat(F.lit(f"__{prefix}_"), F.size(s["kept"]).cast("string"), F.lit("__"))
             return F.struct(replace_first(s["text"], part, mark).alias("text"), F.concat(s["kept"], F.array(F.struct(mark.alias("mark"), part.alias("part")))).alias("kept"))
 
-        state = F.aggregate(found, state, step)
+        return one
+
+    for pattern, prefix in EQUATIONS:
+        found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
+        state = F.aggregate(found, state, step(prefix))
     return state
 
 

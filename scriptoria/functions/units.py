@@ -102,7 +102,11 @@ def extract_units(rows: DataFrame, id_col: str, text_col: str = "text") -> DataF
     Overlapping matches of different patterns are all kept; the order is by
     pattern, then by place.  Null and empty texts give no rows.
     """
-    per = [F.transform(spans(F.col("_text"), p), lambda m, n=n: F.struct(F.lit(n).alias("pattern_no"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("text"))) for n, p in enumerate(quantity_patterns())]
+
+    def hit(n: int):
+        return lambda m: F.struct(F.lit(n).alias("pattern_no"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("text"))
+
+    per = [F.transform(spans(F.col("_text"), p), hit(n)) for n, p in enumerate(quantity_patterns())]
     hits = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(ND)).select("_id", F.posexplode(F.concat(*per)).alias("seq", "hit"))
     return hits.select(F.col("_id").alias(id_col), "hit.pattern_no", "seq", "hit.text", "hit.start", "hit.end", normalize_units(F.col("hit.text")).alias("normalized"))
 

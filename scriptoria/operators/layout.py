@@ -133,11 +133,11 @@ def heading_type(font_size: Column, average: Column) -> Column:
 def classify_headings(blocks: DataFrame) -> DataFrame:
     """Blocks (rows with ``doc_id`` and ``font_size``) with ``structure_type``.
 
-    The average is taken over the sizes of the whole document that are neither
+    The average, rounded so that it doesn't hang on the order of summation, is taken over the sizes of the whole document that are neither
     null nor 0; it is aggregated and joined, so a large document is not gathered
     in one place.
     """
-    average = blocks.filter("font_size <> 0").groupBy("doc_id").agg(F.avg("font_size").alias("_avg"))
+    average = blocks.filter("font_size <> 0").groupBy("doc_id").agg(F.round(F.avg("font_size"), 9).alias("_avg"))
     return blocks.drop("structure_type").join(average, "doc_id", "left").withColumn("structure_type", heading_type(F.col("font_size"), F.col("_avg"))).drop("_avg")
 
 
