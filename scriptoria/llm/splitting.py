@@ -32,27 +32,46 @@ _LEVELS: tuple[re.Pattern[str], ...] = (
 )
 
 
+_LINES = 2
+_HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+\S")
+
+
 def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
     cuts = [m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    return list(zip([start, *cuts], [*cuts, end]))
+    spans = list(zip([start, *cuts], [*cuts, end]))
+    if level != _LINES:
+        return spans
+    out: list[tuple[int, int]] = []
+    for a, b in spans:  # a heading stays with the line below it
+        if out and _HEADING.match(text, *out[-1]):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def blocks(text: str, start: int, end: int, size: Callable[[int, int], int], limit: int, atomic: bool, level: int = 0) -> list[tuple[int, int]]:
     """Consecutive ranges of ``text[start:end]``, each within ``limit``.
 
-    ``atomic``: words may not be cut (one word is one unit of size).
+    Neighbours that are whole children of one node merge as long as they fit; the
+    pieces of a child that had to be opened stay within it.  ``atomic``: words may
+    not be cut (one word is one unit of size).
     """
     if size(start, end) <= limit or start >= end:
         return [(start, end)]
     if level == len(_LEVELS):
         return [(start, end)] if atomic else [(i, min(i + limit, end)) for i in range(start, end, limit)]
     out: list[tuple[int, int]] = []
+    open_ = False  # the last range is a run of whole children
     for a, b in _children(text, start, end, level):
-        for piece in blocks(text, a, b, size, limit, atomic, level + 1):
-            if out and size(out[-1][0], piece[1]) <= limit:
-                out[-1] = (out[-1][0], piece[1])
-            else:
-                out.append(piece)
+        if size(a, b) > limit:
+            out += blocks(text, a, b, size, limit, atomic, level + 1)
+            open_ = False
+        elif open_ and size(out[-1][0], b) <= limit:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+            open_ = True
     return out
 
 
