@@ -48,23 +48,34 @@ _ODD = re.compile(rf"(?:(?![{re.escape(ORDINARY_SIGNS)}])[^\w\s])|[_ÃÂÐÞ]")
 _VOWEL = re.compile(r"[aeiouyäöüàáâãèéêìíòóôõùúýăđĩũơưạ-ỹ]", re.I)
 
 
-def _readable(word: str) -> bool:
-    return len(word) <= 24 and bool(_VOWEL.search(word)) and (word[1:].islower() or len(word) == 1 or word.isupper() or "-" in word or "'" in word)
+class _ReadableLength(dict):
+    """Length of a word if it can be read, else 0; remembered for words met before."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        fine = len(word) <= 24 and _VOWEL.search(word) and (word[1:].islower() or len(word) == 1 or word.isupper() or "-" in word or "'" in word)
+        self[word] = n = len(word) if fine else 0
+        return n
 
-def line_kind(line: str) -> str:
-    """What one line is: prose, list, table or junk.
+
+_LETTERS = _ReadableLength()
+
+
+def line_kind(line: str, words: list[str] | None = None) -> str:
+    """What one line is: prose, list, table or junk.  ``words`` are its words, where they are known.
 
     Rows of cells are tables, marked or tagged items lists; junk are lines in
     which odd signs, repeated signs or unreadable tokens prevail.
     """
     s = plain(line).strip()
     solid = sum(map(len, s.split()))
+    words = _WORD.findall(s) if words is None else words
     if not solid:
         return "prose"
     if s.count("|") >= 2 and not s.strip("|-:+= \t"):
         return "table"  # the rule below a table head
-    letters = sum(len(w) for w in _WORD.findall(s) if _readable(w))
+    letters = sum(map(_LETTERS.__getitem__, words))
     odd = len(_ODD.findall(s))
     if odd >= 2 and odd > 0.06 * solid:
         return "junk"
@@ -90,14 +101,15 @@ def _count(line: str, into: list[int]) -> None:
     if not line.strip():
         into[7] += size  # blank lines belong to no kind of their own
         return
-    words = _WORD.findall(line)
+    shown = plain(line)
+    words = _WORD.findall(shown)
     into[1] += 1
     into[2] += len(words)
     into[3] += sum(map(len, words))
-    into[4] += sum(map(COMMON.__contains__, line.lower().split()))
+    into[4] += sum(map(COMMON.__contains__, shown.lower().split()))
     into[5] += len(_SYMBOL.findall(line))
     into[6] += bool(_ENDED.search(line.rstrip()))
-    into[7 + KINDS.index(line_kind(line))] += size
+    into[7 + KINDS.index(line_kind(shown, words))] += size
 
 
 class Partial:

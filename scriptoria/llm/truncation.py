@@ -37,19 +37,19 @@ _CODE = "#"
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
 
 
-def structural(lines: list[str]) -> bool:
-    """True if the last of the lines is a list item or a table row."""
+def structural(lines: list[str]) -> str:
+    """What the last of the lines is: ``row`` for a list item or table row, ``short`` for a table row with fewer cells than the one above, else empty."""
     last = lines[-1].strip(" \r")
+    above = lines[-2] if len(lines) > 1 else ""
     if _ITEM.match(last):
-        return True
-    if _ENDED.search(last) and "|" not in last:
-        return False
-    if re.search(r"[.!?] +[^\W\d_a-z]", last) and "|" not in last:
-        return False
-    if last.count("|") >= 2 or last.count("\t") >= 2 or _CELLS.search(last):
-        return True
-    marks = last.count(";")
-    return marks >= 2 and len(lines) > 1 and lines[-2].count(";") == marks
+        return "row"
+    if "|" not in last and (_ENDED.search(last) or re.search(r"[.!?] +[^\W\d_a-z]", last)):
+        return ""
+    for mark in ("|", "\t", ";"):
+        n, most = last.count(mark), above.count(mark)
+        if n >= 2 and (mark != ";" or n == most):
+            return "short" if 0 < n < most else "row"
+    return "row" if _CELLS.search(last) else ""
 
 
 def openings(sentence: str) -> tuple[str, str]:
@@ -65,7 +65,8 @@ def tail_facts(text: str) -> tuple[str, str, str, str]:
     """How a text ends: verdict, first word and first pair of its last sentence, and where that sentence stands.
 
     Verdicts: ``marked`` (something stands for the rest), ``ended``, ``row`` (list
-    item or table row), ``open`` (no sign of an end).  Places: ``inside`` a line
+    item or table row), ``short`` (table row that lacks cells), ``open`` (no sign of
+    an end).  Places: ``inside`` a line
     after other sentences, ``line`` (a line of its own), ``word`` (a line of one
     word).
     """
@@ -75,8 +76,8 @@ def tail_facts(text: str) -> tuple[str, str, str, str]:
     if _ENDED.search(s):
         return "ended", "", "", "inside"
     lines = s.split("\n")
-    if structural(lines):
-        return "row", "", "", "line"
+    if kind := structural(lines):
+        return kind, "", "", "line"
     last = _SENTENCES.split(lines[-1])
     fragment = last[-1].strip()
     return "open", *openings(fragment), "inside" if len(last) > 1 else "line" if " " in fragment else "word"
@@ -187,19 +188,20 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         facts.join(words, "opening", "left").join(words.select(F.col("opening").alias("pair"), F.col("ended_share").alias("pair_share")), "pair", "left").join(late, "part", "left")
         .withColumn("source_key", F.coalesce("source", F.lit("\x00"))).join(limits, "source_key", "left")
     )
+    at_limit = F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False))
     # A line of its own whose beginning starts sentences is a cut sentence; one with a beginning of its own is a closing line.
     unfinished = (
         F.when(F.col("place") == "inside", True)
         .when(F.col("pair_share").isNotNull(), F.col("pair_share") >= 0.5)
         .when(F.length("pair") > 0, False)
         .when(F.col("ended_share").isNotNull(), F.col("ended_share") >= 0.5)
-        .otherwise(F.col("place") == "word")  # part of a word
+        .otherwise((F.col("place") == "word") | at_limit)  # part of a word
     )
     cut = (
         F.when(F.col("inside") | F.coalesce("late", F.lit(False)) | (F.col("verdict") == "marked"), True)
         .when(F.col("verdict") == "ended", False)
-        .when(F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False)), True)
         .when(F.col("verdict") == "row", False)
+        .when(F.col("verdict") == "short", at_limit)
         .otherwise(unfinished)
     )
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "chars", "verdict", cut.alias("cut"))
