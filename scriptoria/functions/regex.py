@@ -56,13 +56,17 @@ def spans(text: Column, pattern: str) -> Column:
     nothing matches, null for a null text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    # Bound to a lambda variable, else the text would be split again for every match.
+    parts = F.array(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")))
 
     def size(items: Column, n: Column) -> Column:
         return F.aggregate(F.slice(items, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
 
-    def one(match: Column, i: Column) -> Column:
-        start = size(between, i + 1) + size(found, i)
-        return F.struct(match.alias("match"), start.alias("start"), (start + F.length(match)).alias("end"))
+    def places(s: Column) -> Column:
+        def one(match: Column, i: Column) -> Column:
+            at = F.array(size(s["g"], i + 1) + size(s["m"], i))
+            return F.get(F.transform(at, lambda a: F.struct(match.alias("match"), a.alias("start"), (a + F.length(match)).alias("end"))), F.lit(0))
 
-    return F.transform(found, one)
+        return F.transform(s["m"], one)
+
+    return F.get(F.transform(parts, places), F.lit(0))

@@ -66,7 +66,7 @@ def _questions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, root: str) -> bm25.Index:
-    return bm25.build(table(spark, root, "documents"), "doc_id")
+    return bm25.build(table(spark, root, "documents"), "doc_id", store=True)
 
 
 # --- detection and layout -------------------------------------------------------------------------------------------
@@ -312,7 +312,7 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").filter("text is not null")
     chunks = docs.select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("sub", "text")).withColumn("chunk_id", chunking.chunk_id(F.col("doc_id").cast("string"), F.col("sub")))
     one = spark.createDataFrame([(1, "screw compressor suction pressure")], "query int, text string")
-    hits = bm25.search(bm25.build(chunks, "chunk_id"), one, 5)
+    hits = bm25.search(bm25.build(chunks, "chunk_id", store=True), one, 5)
     return hits.join(chunks, hits.doc == chunks.chunk_id).select("rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"), "text")
 
 
@@ -439,7 +439,7 @@ def vec_topk(spark, root):
 @query
 def rrf_fuse(spark, root):
     by_text = bm25.search(_index(spark, root), _questions(spark, root), 50)
-    by_title = bm25.search(bm25.build(table(spark, root, "documents"), "doc_id", "title"), _questions(spark, root), 50)
+    by_title = bm25.search(bm25.build(table(spark, root, "documents"), "doc_id", "title", store=True), _questions(spark, root), 50)
     return retrieval.fuse_rankings(by_text, by_title, top=20).withColumn("score", F.round("score", 6))
 
 
