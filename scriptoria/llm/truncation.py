@@ -35,6 +35,8 @@ _CODE = "#"
 
 #: Open texts of one length from which a field limit of their source is concluded, and the share of the source's texts they need to be.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
+#: Times a word has to start lines for a last line of this one word to be complete.
+KNOWN_OPENINGS = 20
 
 
 def structural(lines: list[str]) -> str:
@@ -70,10 +72,10 @@ def tail_facts(text: str) -> tuple[str, str, str, str]:
     after other sentences, ``line`` (a line of its own), ``word`` (a line of one
     word).
     """
-    s = plain(text).rstrip()
+    s = plain(text).rstrip(" \r\n")
     if MARKS.search(s):
         return "marked", "", "", "inside"
-    if _ENDED.search(s):
+    if _ENDED.search(s.rstrip()):
         return "ended", "", "", "inside"
     lines = s.split("\n")
     if kind := structural(lines):
@@ -176,7 +178,7 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = following.filter(in_word | in_sentence).select("part", F.lit(True).alias("late"))
 
     # Openings: how many of the sentences that start so are finished by a full stop.
-    words = scanned.filter("what = 'opening'").groupBy("opening").agg((F.sum("n_ended") / F.sum("n")).alias("ended_share"))
+    words = scanned.filter("what = 'opening'").groupBy("opening").agg((F.sum("n_ended") / F.sum("n")).alias("ended_share"), F.sum("n").alias("n_openings"))
     # Field limits: the length at which most open texts of a source stop.
     lengths = facts.groupBy("source", "chars").agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("open", "marked")).alias("n_open"))
     limits = (
@@ -191,7 +193,8 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at_limit = F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False))
     # A line of its own whose beginning starts sentences is a cut sentence; one with a beginning of its own is a closing line.
     unfinished = (
-        F.when(F.col("place") == "inside", True)
+        F.when((F.col("place") == "inside") | ((F.col("place") == "word") & at_limit), True)
+        .when((F.col("place") == "word") & (F.col("n_openings") < KNOWN_OPENINGS), True)  # too rare to be a line of its own
         .when(F.col("pair_share").isNotNull(), F.col("pair_share") >= 0.5)
         .when(F.length("pair") > 0, False)
         .when(F.col("ended_share").isNotNull(), F.col("ended_share") >= 0.5)
