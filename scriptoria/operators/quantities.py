@@ -176,7 +176,7 @@ def cells_of(line: str) -> tuple[str, list[str]] | None:
             cells = [c.strip() for c in pattern.split(line.strip(" ") if mark == "  " else line)]
             if mark == "|" and line.strip().startswith("|"):
                 cells = cells[1:-1] if line.rstrip().endswith("|") else cells[1:]
-            if len(cells) >= 3:
+            if len(cells) >= 3 and (mark != "  " or any(" " in c for c in cells)):  # where all gaps are wide, it's a widely set line
                 return mark, cells
     return None
 

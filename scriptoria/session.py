@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
     Only where the setting is missing (tests, a laptop) a folder beside the SQL
-    warehouse is used; a cluster must name its own shared folder.
+    warehouse is used and removed at the end; a cluster must name its own shared
+    folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    return os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_scratch")
+    own = os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), f"_scratch-{spark.sparkContext.applicationId}")
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
+    return own
+
+
+_SCRATCH: set[str] = set()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
