@@ -145,7 +145,7 @@ def unit_aliases(spellings: DataFrame, units: DataFrame, spelling_col: str = "sp
 
     distinct = distinct_by(spellings.filter(F.col(spelling_col).isNotNull()).select(F.col(spelling_col).alias("spelling")), "spelling").filter(F.length("spelling") <= 24)
     # Few bytes but much work: spread by hand, else adaptive execution makes one task of it.
-    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "spelling")
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     exploded = distinct.mapInArrow(grams_of, "spelling string, gram string, n_own int")
     shared = exploded.join(F.broadcast(posting), "gram").groupBy("spelling", "name", "unit", "n_own", "n_name", "most").agg(F.count("*").alias("n"))
     proposed = shared.filter(F.col("n") * 2 >= F.greatest("n_own", "n_name"))
