@@ -27,7 +27,8 @@ def p1_cleaned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return one_form.find_lookalikes(_texts(spark, root), "row_id")
+    texts = _texts(spark, root)
+    return one_form.find_lookalikes(texts, "row_id", scores=one_form.train_scores(texts))
 
 
 def p3_forms(spark: SparkSession, root: str) -> DataFrame:
