@@ -88,7 +88,7 @@ def line_kind(line: str, words: list[str] | None = None) -> str:
         gaps = len(_GAPS.findall(s)) if "  " in s else 0
         if gaps >= 2 and gaps < (len(s.split()) - 1) * 0.75 and not ended:
             return "table"
-    if letters < 0.4 * solid:
+    if letters < (0.3 if len(words) >= 4 else 0.4) * solid:
         return "junk"
     if _ITEM.match(s) or _TAGGED.match(s):
         return "list"
