@@ -157,7 +157,7 @@ def unit_aliases(spellings: DataFrame, units: DataFrame, spelling_col: str = "sp
 
 _NUM = r"(?:\d{1,3}(?:[ .,']\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?![\d])"
 _TO = rf"(?:\s?(?:[-–—~]|\.\.+|to|bis|đến|tới)\s?(?P<to>[-−]?{_NUM}))?"
-_AFTER = re.compile(rf"(?<![\w.,/\-−–‐])(?P<from>[-−–]?{_NUM}){_TO} ?(?P<one>[^\W\d_°]\S*|[°℃℉º˚]\s?[^\W\d_]?\w*|[\x22″])(?: (?P<two>[^\W\d_][\w().]*))?")
+_AFTER = re.compile(rf"(?<![\w.,/\-−–‐])(?P<from>[-−–]?{_NUM}){_TO} ?(?P<one>[^\W\d_°]\S*|[℃℉]|[°º˚]\s?[^\W\d_]\w*|[\x22″])(?: (?P<two>[^\W\d_][\w().]*))?")
 _BEFORE = re.compile(
     rf"(?:\((?P<round>[^()\n]{{1,20}}(?:\([^()\n]*\))?)\)|\[(?P<square>[^\[\]\n]{{1,20}})\]|,[ ](?P<comma>[^,:=|\n]{{1,20}}?))\s?[:=]\s?(?P<from>[-−–]?{_NUM}){_TO}"
 )

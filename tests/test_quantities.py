@@ -40,6 +40,7 @@ def test_places_of_units(spark, tables):
 
 
 def test_columns(spark, tables):
+    assert found(spark, tables, "reach 366 ℃ before", "870.7℉ as a limit", "at 20 ° C or 21º C") == [[("°C", 366.0)], [("°F", 465.944)], [("°C", 20.0), ("°C", 21.0)]]
     table = "Tag Pelmast | Use | pressure [bar] | mass, KG | Note\n|---|---|---|---|---|\nP-1 | pump | 2 | 7 | OK\nfooter line\nP-2 | fan | - | 8 | TBC\n\nItem | Use | power | mass | Note\nP-3 | pump | 5 | 6 | OK"
     assert found(spark, tables, table, table.replace(" | ", "\t").replace("|---|---|---|---|---|\n", "")) == [[("bar", 200.0), ("kg", 7.0), ("kg", 8.0)]] * 2
 
