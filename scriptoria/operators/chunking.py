@@ -164,3 +164,22 @@ def expand_window(hits: DataFrame, chunks: DataFrame, width: int = 1) -> DataFra
     """
     around = hits.select("doc_id", F.col("chunk_index").alias("hit_index"), F.explode(F.sequence(F.col("chunk_index") - width, F.col("chunk_index") + width)).alias("chunk_index"))
     return around.join(chunks.select("doc_id", "chunk_index", "chunk_id", "text"), ["doc_id", "chunk_index"])
+
+
+def parent_chunks(chunks: DataFrame, max_size: int = 1600) -> DataFrame:
+    """Chunks with ``parent_chunk_id``: neighbours of a document share a parent of about ``max_size`` characters.
+
+    The parent number is the running size before a chunk over ``max_size``, so a
+    parent passes the size by less than its last chunk.  Null texts have size 0.
+    """
+    w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    number = F.floor((F.sum(size).over(w) - size) / max_size).cast("int")
+    return chunks.drop("parent_chunk_id").withColumn("_p", number).withColumn("parent_chunk_id", F.format_string("%s_parent_%04d", F.col("doc_id"), F.col("_p"))).drop("_p")
+
+
+def expand_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Small to big: for each parent of a hit (``chunk_id``), the text of all its chunks in order, once."""
+    wanted = hits.select("chunk_id").distinct().join(chunks, "chunk_id").select("parent_chunk_id").distinct()
+    parts = chunks.join(wanted, "parent_chunk_id", "left_semi").groupBy("parent_chunk_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("_t"))
+    return parts.select("parent_chunk_id", "doc_id", F.size("_t").alias("n_chunks"), F.array_join(F.transform("_t", lambda x: x["text"]), "\n\n").alias("text"))

@@ -272,6 +272,12 @@ SQL["expand_window"] = """
     with h as (select doc_id, chunk_index from chunks group by doc_id, chunk_index, chunk_id having count(*) > 1), c as (select distinct doc_id, chunk_index, chunk_id, text from chunks)
     select h.doc_id, h.chunk_index as hit_index, c.chunk_index, c.chunk_id from h join c on c.doc_id = h.doc_id and c.chunk_index between h.chunk_index - 1 and h.chunk_index + 1"""
 
+SQL["small_to_big"] = """
+    with c as (select doc_id, chunk_index, chunk_id, max(text) as text, count(*) as n from chunks group by all),
+    p as (select *, doc_id || '_parent_' || format('{:04d}', cast(floor((sum(coalesce(length(text), 0)) over (partition by doc_id order by chunk_index rows unbounded preceding) - coalesce(length(text), 0)) / 1600) as integer)) as parent_chunk_id from c)
+    select parent_chunk_id, doc_id, cast(count(*) as integer) as n_chunks, coalesce(string_agg(text, chr(10) || chr(10) order by chunk_index), '') as text from p
+    where parent_chunk_id in (select parent_chunk_id from p where n > 1) group by all"""
+
 # --- keyword search
 
 

@@ -264,6 +264,13 @@ def expand_window(spark, root):
     return chunking.expand_window(hits, one).select("doc_id", "hit_index", "chunk_index", "chunk_id")
 
 
+@query
+def small_to_big(spark, root):
+    """Parents of the chunks that were loaded a second time."""
+    chunks = table(spark, root, "chunks").select("doc_id", "chunk_index", "chunk_id", "text").groupBy("doc_id", "chunk_index", "chunk_id").agg(F.max("text").alias("text"), F.count("*").alias("n"))
+    return chunking.expand_parents(chunks.filter("n > 1"), chunking.parent_chunks(chunks.drop("n")))
+
+
 # --- keyword search -------------------------------------------------------------------------------------------------
 
 

@@ -152,6 +152,14 @@ def test_ids_and_windows(spark):
     assert sorted((r.hit_index, r.chunk_index) for r in chunking.expand_window(hits, chunks).collect()) == [(0, 0), (0, 1), (2, 1), (2, 2), (2, 3)]
 
 
+def test_parents(spark):
+    chunks = spark.createDataFrame([("d", i, f"c{i}", t) for i, t in enumerate(["aaaa", None, "bbbb", "cc", "dddddddd"])], "doc_id string, chunk_index int, chunk_id string, text string")
+    got = chunking.parent_chunks(chunks, 5)
+    assert [r.parent_chunk_id[-1] for r in got.orderBy("chunk_index").collect()] == ["0", "0", "0", "1", "2"]
+    big = chunking.expand_parents(spark.createDataFrame([("c0",), ("c2",), ("none",)], "chunk_id string"), got).collect()
+    assert [(r.n_chunks, r.text) for r in big] == [(3, "aaaa\n\nbbbb")]
+
+
 # --- keyword search
 
 
