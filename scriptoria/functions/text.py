@@ -88,14 +88,9 @@ def paragraphs(text: Column, split: bool = True, **switches: bool) -> Column:
 
     def of_block(block: Column) -> Column:
         lines = F.filter(F.transform(F.split(block, "\n", -1), strip), lambda x: x != "")
-
-        def step(done: Column, line: Column) -> Column:
-            n = F.size(done)
-            begins = (n == 0) | starts_paragraph(line)
-            glued = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.try_element_at(done, F.lit(-1)), F.lit(" "), line)))
-            return F.when(begins, F.concat(done, F.array(line))).otherwise(glued)
-
-        return F.aggregate(lines, none, step)
+        # Lines that go on are joined by a space, the others by a line feed, which no line holds; then one split.
+        marked = F.transform(lines, lambda x, i: F.concat(F.when(i == 0, "").when(starts_paragraph(x), "\n").otherwise(" "), x))
+        return F.split(F.array_join(marked, ""), "\n", -1)
 
     blocks = F.split(F.coalesce(clean, F.lit("")), "\n\n", -1)
     return F.filter(F.transform(F.flatten(F.transform(blocks, of_block)), strip), lambda p: p != "")

@@ -47,38 +47,27 @@ def sections(documents: DataFrame) -> DataFrame:
     one is a section without heading, from its first line that isn't blank.  The
     page marks in a section give its pages, counted from 0; page 0 doesn't stick as
     a start, and the first line of a section without heading isn't read for marks.
-    Blank sections keep a row with a blank ``content``.
+    Blank sections keep a row with a blank ``content``.  Lines are rows here, not a
+    fold over an array, so a document of millions of lines takes linear time.
     """
-    none = F.array().cast("array<string>")
-    kind = "struct<heading:string,level:int,lines:array<string>,page_start:int,page_end:int>"
-
-    def mark(line: Column) -> Column:
-        n = F.regexp_extract(line, r"Page (\d+)", 1)
-        return F.when(F.contains(line, F.lit("<!-- Page")) & (n != ""), n.try_cast("int") - 1)
-
-    def section(heading: Column, level: Column, lines: Column, start: Column, end: Column) -> Column:
-        return F.struct(heading.alias("heading"), level.alias("level"), lines.alias("lines"), start.alias("page_start"), end.alias("page_end"))
-
-    def step(done: Column, line: Column) -> Column:
-        hashes = F.regexp_extract(line, "^(#*)", 1)
-        head = section(strip(F.substring(line, F.length(hashes) + 1, F.length(line))), F.length(hashes), none, F.lit(0), F.lit(0))
-        first = section(F.lit(None).cast("string"), F.lit(0), F.array(line), F.lit(0), F.lit(0))
-        cur = F.try_element_at(done, F.lit(-1))
-        p = mark(line)
-        grown = section(
-            cur["heading"], cur["level"], F.concat(cur["lines"], F.array(line)),
-            F.when((cur["page_start"] == 0) & p.isNotNull(), p).otherwise(cur["page_start"]), F.coalesce(p, cur["page_end"]),
-        )
-        return (
-            F.when(F.length(hashes) > 0, F.concat(done, F.array(head)))
-            .when((F.size(done) == 0) & (strip(line) == ""), done)
-            .when(F.size(done) == 0, F.array(first))
-            .otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown)))
-        )
-
-    parsed = F.aggregate(F.split(F.coalesce("markdown", F.lit("")), "\n", -1), F.array().cast(f"array<{kind}>"), step)
-    rows = documents.select("doc_id", F.posexplode(parsed).alias("section", "s"))
-    return rows.select("doc_id", "section", "s.heading", "s.level", F.array_join("s.lines", "\n").alias("content"), "s.page_start", "s.page_end")
+    lines = documents.select("doc_id", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n", -1)).alias("i", "line"))
+    doc = Window.partitionBy("doc_id")
+    hashes = F.regexp_extract("line", "^(#*)", 1)
+    marked = lines.withColumn("head", F.length(hashes) > 0).withColumn("s", F.sum(F.col("head").cast("int")).over(doc.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.min(F.when((F.col("s") == 0) & (strip(F.col("line")) != ""), F.col("i"))).over(doc)
+    kept = marked.withColumn("first", first).filter((F.col("s") > 0) | (F.col("i") >= F.col("first")))
+    n = F.regexp_extract("line", r"Page (\d+)", 1)
+    read = ~F.col("head") & ~((F.col("s") == 0) & (F.col("i") == F.col("first"))) & F.contains("line", F.lit("<!-- Page")) & (n != "")
+    paged = kept.withColumn("p", F.when(read, n.try_cast("int") - 1))
+    per = paged.groupBy("doc_id", "s").agg(
+        F.max(F.when(F.col("head"), strip(F.substring("line", F.length(hashes) + 1, F.length("line"))))).alias("heading"),
+        F.coalesce(F.max(F.when(F.col("head"), F.length(hashes))), F.lit(0)).alias("level"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))), lambda x: x["line"]), "\n").alias("content"),
+        F.coalesce(F.min_by("p", F.when(F.col("p") != 0, F.col("i"))), F.lit(0)).alias("page_start"),
+        F.coalesce(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("i"))), F.lit(0)).alias("page_end"),
+    )
+    number = (F.row_number().over(doc.orderBy("s")) - 1).cast("int")
+    return per.select("doc_id", number.alias("section"), "heading", "level", "content", "page_start", "page_end")
 
 
 def chunk_id(doc_id: Column, index: Column) -> Column:
