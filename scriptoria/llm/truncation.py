@@ -37,8 +37,6 @@ _CODE = "#"
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
 #: Characters of a text by which it is assigned to a range.
 SORT_KEY = 160
-#: Times a word has to start lines for a last line of this one word to be complete.
-KNOWN_OPENINGS = 20
 
 
 def structural(lines: list[str]) -> str:
@@ -196,27 +194,33 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = following.filter(in_word | in_sentence).select("part", F.lit(True).alias("late"))
 
     # Openings: how many of the sentences that start so are finished by a full stop.
-    words = scanned.filter("what = 'opening'").groupBy("opening").agg((F.sum("n_ended") / F.sum("n")).alias("ended_share"), F.sum("n").alias("n_openings"))
+    words = scanned.filter("what = 'opening'").groupBy("opening").agg(F.sum("n_ended").alias("n_ended"), F.sum("n").alias("n")).withColumn("ended_share", F.col("n_ended") / F.col("n"))
+    # Last lines of one word may stop inside it, so all first words that begin like it are counted together.
+    lengths = facts.filter("verdict = 'open' and place = 'word'").select(F.length("opening").alias("k")).distinct()
+    begins = (
+        words.filter(~F.contains("opening", F.lit(" "))).join(F.broadcast(lengths), F.length("opening") >= F.col("k"))
+        .groupBy(F.expr("left(opening, k)").alias("opening")).agg((F.sum("n_ended") / F.sum("n")).alias("begin_share"))
+    )
     # Field limits: the length at which most open texts of a source stop.
-    lengths = facts.groupBy("source", "chars").agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("open", "marked")).alias("n_open"))
+    stops = facts.groupBy("source", "chars").agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("open", "marked")).alias("n_open"))
     limits = (
-        lengths.groupBy("source").agg(F.max_by("chars", F.struct("n_open", "chars")).alias("limit_chars"), F.max("n_open").alias("n_at"), F.sum("n").alias("n_all"))
+        stops.groupBy("source").agg(F.max_by("chars", F.struct("n_open", "chars")).alias("limit_chars"), F.max("n_open").alias("n_at"), F.sum("n").alias("n_all"))
         .filter((F.col("n_at") >= LIMIT_TEXTS) & (F.col("n_at") >= LIMIT_SHARE * F.col("n_all")))
         .select(F.coalesce("source", F.lit("\x00")).alias("source_key"), "limit_chars")
     )
     joined = (
-        facts.join(words, "opening", "left").join(words.select(F.col("opening").alias("pair"), F.col("ended_share").alias("pair_share")), "pair", "left").join(late, "part", "left")
+        facts.join(words.select("opening", "ended_share"), "opening", "left").join(begins, "opening", "left").join(words.select(F.col("opening").alias("pair"), F.col("ended_share").alias("pair_share")), "pair", "left").join(late, "part", "left")
         .withColumn("source_key", F.coalesce("source", F.lit("\x00"))).join(limits, "source_key", "left")
     )
     at_limit = F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False))
     # A line of its own whose beginning starts sentences is a cut sentence; one with a beginning of its own is a closing line.
     unfinished = (
         F.when((F.col("place") == "inside") | ((F.col("place") == "word") & at_limit), True)
-        .when((F.col("place") == "word") & (F.col("n_openings") < KNOWN_OPENINGS), True)  # too rare to be a line of its own
+        .when(F.col("place") == "word", F.coalesce(F.col("begin_share") >= 0.5, F.lit(True)))  # part of a word if no first word begins so
         .when(F.col("pair_share").isNotNull(), F.col("pair_share") >= 0.5)
         .when(F.length("pair") > 0, False)
         .when(F.col("ended_share").isNotNull(), F.col("ended_share") >= 0.5)
-        .otherwise((F.col("place") == "word") | at_limit)  # part of a word
+        .otherwise(at_limit)  # part of a word
     )
     cut = (
         F.when(F.col("inside") | F.coalesce("late", F.lit(False)) | (F.col("verdict") == "marked"), True)

@@ -316,6 +316,19 @@ def test_truncated_edges(spark):
     assert rows_of(truncation.find_truncated(long)) == [(2,), (3,), (None,)]
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_truncated_at_any_size(spark, times):
+    """What starts a few lines of its own (here codes of one letter) hides no cut word, however often the texts occur."""
+    sentences = ["Die Pumpe steht dort.", "Der Filter war dicht.", "Vor dem Anfahren entlüften.", "Anlage danach spülen."]
+    texts = [f"{' '.join(sentences[i % 4 :])}\n{'DV'[i % 2]} gehört zu Anhang {i}\n{sentences[i % 3]}" for i in range(8)]
+    texts += ["Die Pumpe steht dort.\nEnde der Seite\nDer Filter war dicht."]
+    cut, fine = ["Der Filter war dicht.\nD", "Die Pumpe steht dort.\nV", "Vor dem Anfahren entlüften.\nVo", "Anlage danach spülen.\nDie"], ["Der Filter war dicht.\nEnde"]
+    docs = [(1000 * k + i, f"Titel {'x' * k}\n{t}", "S") for k in range(times) for i, t in enumerate(texts + cut + fine)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    found = {r.doc_id for r in truncation.find_truncated(df).collect()}
+    assert found == {1000 * k + len(texts) + i for k in range(times) for i in range(len(cut))}
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=QUIET)
 @given(st.lists(st.text(alphabet="ab c.", min_size=1, max_size=6), min_size=1, max_size=20))
 def test_prefixes_against_brute_force(spark, texts):
