@@ -7,7 +7,8 @@ the original text.
 
 Any run of ``min_words`` words contains a whole block of ``block`` words that
 starts at a multiple of ``block``, as long as ``min_words >= 2 * block - 1``; so
-the blocks at these places find every run, and the automaton stays small.
+the blocks at these places find every run, and the automaton stays small.  A test
+text of fewer words is one block, found where it stands as a whole.
 """
 
 from __future__ import annotations
@@ -61,51 +62,53 @@ class TestTexts:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str, str]], min_words: int = 15):
+    def __init__(self, items: list[tuple[int, str, str]], min_words: int = 15, short: bool = False):
         self.min_words, self.block = min_words, (min_words + 1) // 2
         self.items = [(key, field, words_of(text or "")) for key, field, text in items]
         blocks: dict[str, list[tuple[int, int]]] = {}
         for n, (_, _, words) in enumerate(self.items):
-            if len(words) >= min_words:
-                for at in range(0, len(words) - self.block + 1, self.block):
-                    blocks.setdefault(f" {' '.join(words[at : at + self.block])} ", []).append((n, at))
+            size = self.block if len(words) >= min_words else len(words) if short else 0
+            for at in range(0, len(words) - size + 1, size) if size else ():
+                blocks.setdefault(f" {' '.join(words[at : at + size])} ", []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for text, places in blocks.items():
-            self.automaton.add_word(text, (len(text), places))
+            self.automaton.add_word(text, (len(text), text.count(" ") - 1, places))
         self.some = bool(blocks)
+        self.fewest = min((min(min_words, len(self.items[n][2])) for places in blocks.values() for n, _ in places), default=min_words)
         if self.some:
             self.automaton.make_automaton()
 
     def runs(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Maximal runs (index of the test text, its first word, first word here, words) of enough words."""
+        """Maximal runs (index of the test text, its first word, first word here, words) of enough words, or of a whole short text."""
         if not self.some:
             return []
         words = words_of(text)
-        if len(words) < self.min_words:
+        if len(words) < self.fewest:
             return []
         line = f" {' '.join(words)} "
         found: dict[tuple[int, int, int, int], None] = {}
-        for end, (length, places) in self.automaton.iter(line):
+        for end, (length, size, places) in self.automaton.iter(line):
             w = line.count(" ", 0, end - length + 2) - 1
             for n, at in places:
                 own = self.items[n][2]
-                a, b, x, y = at, at + self.block, w, w + self.block
+                a, b, x, y = at, at + size, w, w + size
                 while a > 0 and x > 0 and own[a - 1] == words[x - 1]:
                     a, x = a - 1, x - 1
                 while b < len(own) and y < len(words) and own[b] == words[y]:
                     b, y = b + 1, y + 1
-                if b - a >= self.min_words:
+                if b - a >= min(self.min_words, len(own)):
                     found[n, a, x, b - a] = None
         return list(found)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, text_cols: tuple[str, ...] = ("passage",), min_words: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, text_cols: tuple[str, ...] = ("passage",), min_words: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", short: bool = False) -> DataFrame:
     """Runs of at least ``min_words`` words that a document shares with a test item.
 
     Columns: ``id_col``, ``item_col``, ``field``, ``n_words``, ``item_word`` (place
     in the item), ``start`` and ``end`` (offsets in the original text).  One row
     for each maximal run; repeated documents report each for itself.  Null and
-    empty texts and test texts shorter than ``min_words`` give no rows.
+    empty texts give no rows.  Test texts shorter than ``min_words`` give none
+    either, unless ``short`` asks for the places where they stand as a whole.
 
     The test items, a stated query set, go to the workers in sets of bounded size
     (``AUTOMATON_CHARS``); the corpus is scanned once per set and never shuffled.
@@ -127,20 +130,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, text_cols: tuple[str, ...
     schema = f"`{id_col}` {doc_type}, `{item_col}` {item_type}, field string, n_words int, item_word int, `start` int, `end` int"
     spark = documents.sparkSession
     docs = require(documents, id_col, text_col).filter(F.length(text_col) > 0)
-    parts = [docs.mapInArrow(_scanner(spark.sparkContext.broadcast(s), min_words, items.schema[item_col].dataType, id_col, item_col), schema) for s in sets]
+    parts = [docs.mapInArrow(_scanner(spark.sparkContext.broadcast(s), min_words, short, items.schema[item_col].dataType, id_col, item_col), schema) for s in sets]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _scanner(shared, min_words: int, item_type, id_col: str, item_col: str):
+def _scanner(shared, min_words: int, short: bool, item_type, id_col: str, item_col: str):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_item = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestTexts(shared.value, min_words)
+        tests = TestTexts(shared.value, min_words, short)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             take: list[int] = []

@@ -269,6 +269,36 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.filter("false"), items).count() == 0 and leakage.find_leaks(df, items.filter("false")).count() == 0
 
 
+def test_leaked_questions(spark):
+    """Test texts below the least run are found where they stand as a whole."""
+    question, passage = "Which pump feeds the north rack at night?", " ".join(f"word{i}" for i in range(20))
+    docs = [(1, f"Asked: which PUMP feeds\nthe north rack at night? Nobody knew. {question}"), (2, "Which pump feeds the north rack"), (3, question), (4, passage), (5, " ".join(passage.split()[:14])), (6, "Which pump feeds the north rack at nightfall"), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, question, passage), (11, "?!", None), (12, "the north rack", "x y")], "item_id bigint, question string, passage string")
+    got = leakage.find_leaks(df, items, ("question", "passage"), short=True)
+    assert rows_of(got.select("doc_id", "item_id", "field", "n_words", "item_word")) == sorted(
+        [(1, 10, "question", 8, 0)] * 2 + [(3, 10, "question", 8, 0), (4, 10, "passage", 20, 0), *[(d, 12, "question", 3, 0) for d in (1, 1, 2, 3, 6)]], key=repr
+    )
+    assert sorted(docs[0][1][r.start : r.end] for r in got.filter("doc_id = 1 and item_id = 10").collect()) == [question[:-1], "which PUMP feeds\nthe north rack at night"]
+    assert rows_of(leakage.find_leaks(df, items, ("question", "passage")).select("doc_id", "item_id")) == [(4, 10)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=16), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("ab"), max_size=14), min_size=1, max_size=4), st.integers(1, 6))
+def test_short_texts_against_brute_force(docs, items, most):
+    d, i = [(n, " ".join(x)) for n, x in enumerate(docs)], [(n, " ".join(x)) for n, x in enumerate(items)]
+    tests = leakage.TestTexts([(k, "passage", p) for k, p in i], most, short=True)
+    want = {pair for k, p in i if p for pair in brute_leaks(d, [(k, p)], min(most, len(p.split())))}
+    assert {(n, tests.items[h[0]][0]) for n, t in d for h in tests.runs(t)} == want
+
+
+def test_question_query(spark, tmp_path):
+    spark.createDataFrame([(1, "He asked which pump feeds the north rack at night.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, "Which pump feeds the north rack at night?", None)], "item_id bigint, question string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert rows_of(QUERIES["p7_passages"](spark, str(tmp_path)).select("doc_id", "item_id", "field")) == [(1, 10, "question")]
+    assert QUERIES["p7_found"](spark, str(tmp_path)).count() == 0
+
+
 def test_offsets():
     for t in ("Thе wo​rd, é", "ẞ ǅ", "áb c", ""):
         assert [w for w, _, _ in leakage.words_with_offsets(t)] == leakage.words_of(t)
