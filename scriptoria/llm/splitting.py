@@ -131,10 +131,10 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, id_col: str = "chunk_i
 
     A chunk within the limit is one piece and never leaves the JVM; so are chunks
     without a known profile and null texts (null ``text``, ``end`` 0).  Offsets
-    count code points of the stored text.  Chunks loaded twice with the same text
-    count once.  ``oversized_only`` leaves out the chunks within their limit.
+    count code points of the stored text.  Chunks loaded twice with the same text,
+    heading and profile count once.  ``oversized_only`` leaves out the chunks within their limit.
     """
-    sized = with_limits(chunks, limits, id_col, text_col, heading_col, profile)
+    sized = with_limits(chunks, limits, id_col, text_col, heading_col, profile).dropDuplicates(["item", "text", "heading", "profile"])
     large = F.coalesce(F.col("size") > F.col("max_size"), F.lit(False))
     kind = chunks.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece_no int, n_pieces int, `start` int, `end` int, text string, heading string, oversized boolean"

@@ -193,6 +193,19 @@ def test_oversized(spark):
     assert splitting.find_oversized(df, limits.filter("false")).count() == 0
 
 
+def test_second_loads(spark):
+    """A chunk loaded twice gives its pieces once; another text, heading or profile is another chunk."""
+    long, once = "one two three four", [("a", 0), ("a", 1)]
+    rows = [("a", long, "H", {"profile": "t"})] * 3 + [("b", "one two", None, {"profile": "t"})] * 2 + [("d", None, None, None)] * 2 + [(None, long, "H", {"profile": "t"})] * 2
+    df = spark.createDataFrame(rows, "chunk_id string, text string, heading string, metadata map<string,string>")
+    limits = spark.createDataFrame([("t", "tokens", 3, 1), ("k", "chars", 99, 0)], "profile string, measure string, max_size int, overlap_size int")
+    places = lambda x, **how: rows_of(splitting.split_oversized(x, limits, **how).select("chunk_id", "piece_no"))
+    assert places(df) == sorted([*once, ("b", 0), ("d", 0), (None, 0), (None, 1)], key=repr)
+    assert places(df, oversized_only=True) == sorted([*once, (None, 0), (None, 1)], key=repr)
+    other = spark.createDataFrame([("a", long + ".", "H", {"profile": "t"}), ("a", long, None, {"profile": "t"}), ("a", long, "H", {"profile": "k"})], df.schema)
+    assert places(df.filter("chunk_id = 'a'").unionByName(other)) == sorted([*once * 3, ("a", 0)], key=repr)
+
+
 # --- 6: encoding
 
 VOCABULARY = os.path.join(encoding.TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
