@@ -3,18 +3,23 @@
 Three steps:
 
 1. ``extract_mentions``: one pass over the texts finds every number with the
-   spelling that stands where a unit can stand: after the number, before it in a
-   label, in the next cell, or in the heading of its column.
+   spellings that stand where a unit can stand: the one to five words after the
+   number, the label before it, the next cell, or the heading of its column.
+   Spellings for which the bigram index proposes no unit are left out at once.
 2. ``unit_aliases``: the distinct spellings are mapped to reference units: an
    inverted index of character bigrams proposes names, a weighted edit distance
    decides.  The result is the alias dictionary.
 3. ``convert_mentions``: the dictionary is joined to all mentions, numbers are
    read with the decimal mark of their source, and values converted.
+
+No spelling is left out for its length: the distance of a spelling to a name is at
+least 0.05 for each sign it is longer, so the bound of ``UnitIndex`` is exact.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -30,13 +35,13 @@ PARTS = {
     "kg": ("kg", "kilogram", "kilogramme"),
     "t": ("t", "ton", "tonne", "tấn", "metric ton"),
     "lb": ("lb", "lbs", "pound", "pounds"),
-    "m³": ("m³", "cubic metre", "cubic meter"),
+    "m³": ("m³", "cubic metre", "cubic meter", "cu m", "Kubikmeter", "mét khối"),
     "L": ("L", "litre", "liter", "lít"),
     "US gal": ("US gal", "gal", "gallon", "US gallon"),
-    "kgf": ("kgf", "kg", "kp"),
-    "cm²": ("cm²", "sq cm"),
-    "h": ("h", "hr", "hour", "giờ"),
-    "s": ("s", "sec", "second", "giây"),
+    "kgf": ("kgf", "kg", "kp", "kilogram-force"),
+    "cm²": ("cm²", "sq cm", "square centimetre", "square centimeter"),
+    "h": ("h", "hr", "hour", "giờ", "Stunde"),
+    "s": ("s", "sec", "second", "giây", "Sekunde"),
     "min": ("min", "minute", "phút"),
 }
 NAMES = {
@@ -44,8 +49,8 @@ NAMES = {
     "bar": ("bar", "bar(a)", "bar abs", "bar absolute"),
     "bar(g)": ("bar(g)", "bar gauge", "bar gage"),
     "MPa": ("MPa", "MPa(a)", "MPa abs", "megapascal"),
-    "psi": ("psi", "psi(a)", "psi abs", "psi absolute"),
-    "psi(g)": ("psi(g)", "psi gauge", "psi gage"),
+    "psi": ("psi", "psi(a)", "psi abs", "psi absolute", "lb/in²", "lbf/in²", "pound/square inch", "pound/sq in"),
+    "psi(g)": ("psi(g)", "psi gauge", "psi gage", "pound/square inch gauge", "pound/square inch gage"),
     "mbar": ("mbar", "mbar(a)", "mbar abs", "millibar"),
     "°C": ("°C", "deg C", "degree C", "degrees C", "degree Celsius", "degrees Celsius", "Celsius", "độ C"),
     "°F": ("°F", "deg F", "degree F", "degrees F", "degree Fahrenheit", "degrees Fahrenheit", "Fahrenheit", "độ F"),
@@ -68,12 +73,15 @@ NAMES = {
 COMPOUND = {"US gpm": ("US gal", "min")}
 
 _SAME = str.maketrans({"²": "2", "³": "3", "º": "°", "˚": "°"})
+_PER = re.compile(r"\s+(?:per|pro)\s+|\s*/\s*", re.I)
 _GLUE = " ._()[]-"
+#: What a sign of a spelling costs at least that its name lacks; it bounds the length of what can still be a unit.
+GLUE_COST = 0.05
 
 
 def spelling(text: str) -> str:
-    """A spelling without what never tells units apart: one-sign degrees, superscripts, outer signs."""
-    s = text.replace("℃", "°C").replace("℉", "°F").translate(_SAME).strip(" \t*|")
+    """A spelling without what never tells units apart: one-sign degrees, superscripts, outer signs, ``per`` for a stroke."""
+    s = _PER.sub("/", text.replace("℃", "°C").replace("℉", "°F").translate(_SAME)).strip(" \t*|")
     if s.rstrip(",;:") in ('"', "″") or s.lower().rstrip(",;:)") == "in.":  # with its sign or full stop only: "in" is a word
         return "inch"
     s = s.strip(".,;:!?\"'")
@@ -106,7 +114,7 @@ def distance(a: str, b: str) -> float:
     def drop(s: str, i: int) -> float:
         c = s[i]
         if c in _GLUE:
-            return 0.05
+            return GLUE_COST
         ends = i + 1 == len(s) or s[i + 1] == "/"
         return 0.3 if c in "sS" and ends and i >= 2 and s[i - 1].isalpha() and s[i - 2].isalpha() else 1.0
 
@@ -126,40 +134,60 @@ def allowed(name: str) -> float:
     return 1.0 if sum(c not in _GLUE for c in name) >= 8 else 0.6
 
 
+class UnitIndex:
+    """Inverted index from character bigrams to the names of the reference units."""
+
+    def __init__(self, units: list[str]):
+        self.names = [(name, unit, len(bigrams(name)), allowed(name)) for unit in sorted(units) for name in names_of(unit)]
+        self.posting: dict[str, list[int]] = {}
+        for i, (name, *_) in enumerate(self.names):
+            for gram in bigrams(name):
+                self.posting.setdefault(gram, []).append(i)
+        self.longest = max((len(name) + most / GLUE_COST for name, _, _, most in self.names), default=0)
+
+    def proposals(self, s: str) -> list[int]:
+        """Names that share at least half of the bigrams of the richer of both; none for what is too long to be any name."""
+        if not s or len(s) > self.longest:
+            return []
+        own = bigrams(s)
+        shared = Counter(i for gram in own for i in self.posting.get(gram, ()))
+        return [i for i, n in shared.items() if 2 * n >= max(len(own), self.names[i][2])]
+
+    def unit(self, s: str) -> str | None:
+        """Unit of the nearest of the proposed names within its distance; ties to the first unit by name."""
+        near = [(cost, unit) for i in self.proposals(s) for name, unit, _, most in [self.names[i]] for cost in [distance(s, name)] if cost <= most]
+        return min(near)[1] if near else None
+
+
+def _index_of(units: DataFrame, unit_col: str = "unit") -> UnitIndex:
+    """Index of a reference table, which has one row for each unit and is read by the driver."""
+    return UnitIndex([r[0] for r in units.select(unit_col).distinct().collect() if r[0]])
+
+
 def unit_aliases(spellings: DataFrame, units: DataFrame, spelling_col: str = "spelling", unit_col: str = "unit") -> DataFrame:
     """Alias dictionary: distinct ``spelling`` -> ``unit`` (nearest name; ties to the first unit in the reference's order by name).
 
     ``units`` is a fixed reference table; its names become an inverted index of
-    bigrams, a few thousand rows.  Spellings near no name have no row.
+    bigrams, a few thousand entries.  Spellings near no name have no row.
     """
-    index = [(g, name, u, n, allowed(name)) for u in sorted(r[0] for r in units.select(unit_col).distinct().collect() if r[0]) for name in names_of(u) for grams in [bigrams(name)] for n in [len(grams)] for g in grams]
-    spark = spellings.sparkSession
-    posting = spark.createDataFrame(index, "gram string, name string, unit string, n_name int, most double")
-    near = F.udf(distance, "double", useArrow=True).asNondeterministic()  # else it is pushed below the count of shared bigrams
+    index = _index_of(units, unit_col)
 
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, g, len(own)) for s in batch.column(0).to_pylist() for own in [bigrams(s)] for g in own]
-            cols = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["spelling", "gram", "n_own"])
+            rows = [(s, u) for s in batch.column(0).to_pylist() if (u := index.unit(s)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["spelling", "unit"])
 
-    distinct = distinct_by(spellings.filter(F.col(spelling_col).isNotNull()).select(F.col(spelling_col).alias("spelling")), "spelling").filter(F.length("spelling") <= 24)
-    # Few bytes but much work: spread by hand, else adaptive execution makes one task of it.
-    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    exploded = distinct.mapInArrow(grams_of, "spelling string, gram string, n_own int")
-    shared = exploded.join(F.broadcast(posting), "gram").groupBy("spelling", "name", "unit", "n_own", "n_name", "most").agg(F.count("*").alias("n"))
-    proposed = shared.filter(F.col("n") * 2 >= F.greatest("n_own", "n_name"))
-    verified = proposed.withColumn("cost", near("spelling", "name")).filter(F.col("cost") <= F.col("most"))
-    return verified.groupBy("spelling").agg(F.min_by("unit", F.struct("cost", "unit")).alias("unit"))
+    return distinct_by(spellings.filter(F.col(spelling_col).isNotNull()).select(F.col(spelling_col).alias("spelling")), "spelling").mapInArrow(run, "spelling string, unit string")
 
 
 # --- mentions -------------------------------------------------------------------------------------------------------
 
 _NUM = r"(?:\d{1,3}(?:[ .,']\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?![\d])"
 _TO = rf"(?:\s?(?:[-–—~]|\.\.+|to|bis|đến|tới)\s?(?P<to>[-−]?{_NUM}))?"
-_AFTER = re.compile(rf"(?<![\w.,/\-−–‐])(?P<from>[-−–]?{_NUM}){_TO} ?(?P<one>[^\W\d_°]\S*|[℃℉]|[°º˚]\s?[^\W\d_]\w*|[\x22″])(?: (?P<two>[^\W\d_][\w().]*))?")
+_WORD = r"[^\W\d_°][^\s|;]*"  # up to the end of the cell
+_AFTER = re.compile(rf"(?<![\w.,/\-−–‐])(?P<from>[-−–]?{_NUM}){_TO} ?(?P<unit>(?:{_WORD}|[℃℉]|[°º˚]\s?[^\W\d_]\w*|[\x22″])(?: (?:{_WORD}|/[^\s|;]*)){{0,4}})")
 _BEFORE = re.compile(
-    rf"(?:\((?P<round>[^()\n]{{1,20}}(?:\([^()\n]*\))?)\)|\[(?P<square>[^\[\]\n]{{1,20}})\]|,[ ](?P<comma>[^,:=|\n]{{1,20}}?))\s?[:=]\s?(?P<from>[-−–]?{_NUM}){_TO}"
+    rf"(?:\((?P<round>[^()\n]+(?:\([^()\n]*\))?)\)|\[(?P<square>[^\[\]\n]+)\]|,[ ](?P<comma>[^,:=|\n]+?))\s?[:=]\s?(?P<from>[-−–]?{_NUM}){_TO}"
 )
 _WHOLE = re.compile(rf"(?P<from>[-−–]?{_NUM}){_TO}$")
 _HEAD_UNIT = re.compile(r"(?:\((?P<round>[^()]+(?:\([^()]*\))?)\)|\[(?P<square>[^\[\]]+)\]|,\s*(?P<comma>[^,]+))$")
@@ -181,15 +209,27 @@ def cells_of(line: str) -> tuple[str, list[str]] | None:
     return None
 
 
-def mentions(text: str) -> list[tuple[str, str, str]]:
-    """(number, longer spelling, shorter spelling) of every number beside which a unit could stand."""
-    out: list[tuple[str, str, str]] = []
+def mentions(text: str, index: UnitIndex, memo: dict[str, str] | None = None) -> list[tuple[str, tuple[str, ...]]]:
+    """(number, spellings, the longest first) of every number beside which a unit stands by the bigrams of the index.
 
-    def add(m: re.Match, longer: str, shorter: str = "") -> None:
-        a, b = spelling(longer), spelling(shorter)
-        out.append((m["from"], a, b))
-        if m["to"]:
-            out.append((m["to"], a, b))
+    ``memo`` keeps the spelling of texts met before, empty for those without a
+    proposal.
+    """
+    memo = {} if memo is None else memo
+    out: list[tuple[str, tuple[str, ...]]] = []
+
+    def known(raw: str) -> str:
+        s = memo.get(raw)
+        if s is None:
+            s = spelling(raw)
+            s = memo[raw] = s if index.proposals(s) else ""
+        return s
+
+    def add(m: re.Match, *raws: str) -> None:
+        if found := tuple(dict.fromkeys(s for raw in raws if (s := known(raw)))):
+            out.append((m["from"], found))
+            if m["to"]:
+                out.append((m["to"], found))
 
     head: dict[tuple[str, int], list[str]] = {}
     for line in plain(text).split("\n"):
@@ -197,8 +237,8 @@ def mentions(text: str) -> list[tuple[str, str, str]]:
             pass
         else:
             for m in _AFTER.finditer(line):
-                one, two = m["one"], m["two"]
-                add(m, f"{one} {two}" if two else one, one)
+                words = m["unit"].split(" ")
+                add(m, *(" ".join(words[:n]) for n in range(len(words), 0, -1)))
             for m in _BEFORE.finditer(line):
                 add(m, m["round"] or m["square"] or m["comma"])
         row = cells_of(line)
@@ -211,7 +251,8 @@ def mentions(text: str) -> list[tuple[str, str, str]]:
             units = [_HEAD_UNIT.search(c) for c in own]
             head[mark, len(own)] = [(u["round"] or u["square"] or u["comma"]) if u else "" for u in units]
             continue
-        units = head.get((mark, len(own)), [])
+        last_empty = mark == "  " and line.endswith("  ")  # gaps at the end of a widely set row stand for an empty cell
+        units = head.get((mark, len(own))) or (head.get((mark, len(own) + 1)) if last_empty else None) or []
         for i, m in enumerate(numbers):
             if m and i:
                 if i < len(units) and units[i]:
@@ -221,27 +262,38 @@ def mentions(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def extract_mentions(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", keep: tuple[str, ...] = ("origin", "doc_id")) -> DataFrame:
-    """Numbers with the spellings beside them: ``keep``, ``id_col``, ``number``, ``longer``, ``shorter``.
+#: Spellings a worker remembers before it starts anew; bounds memory, not results.
+REMEMBERED = 200_000
+
+
+def extract_mentions(rows: DataFrame, units: DataFrame, id_col: str = "row_id", text_col: str = "text", keep: tuple[str, ...] = ("origin", "doc_id")) -> DataFrame:
+    """Numbers with the spellings beside them: ``keep``, ``id_col``, ``number``, ``longest``, ``spelling``, ``rank``.
 
+    One row for each spelling beside a number that could be a unit of ``units``;
+    ``longest`` is the first of them and names the mention, ``rank`` 0 the first.
     Null and empty texts give no rows; repeated rows repeat their mentions.
     """
     names = [*keep, id_col]
+    index = _index_of(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
         for batch in batches:
             take: list[int] = []
-            found: list[tuple[str, str, str]] = []
+            found: list[tuple[str, str, str, int]] = []
             for i, text in enumerate(batch.column(len(names)).to_pylist()):
-                hits = list(dict.fromkeys(mentions(text)))
-                found += hits
-                take += [i] * len(hits)
+                if len(memo) > REMEMBERED:
+                    memo.clear()
+                for number, spellings in dict.fromkeys(mentions(text, index, memo)):
+                    found += [(number, spellings[0], s, n) for n, s in enumerate(spellings)]
+                    take += [i] * len(spellings)
             at = pa.array(take, pa.int64())
-            cols = list(zip(*found)) if found else [()] * 3
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names))), *(pa.array(c, pa.string()) for c in cols)], names=[*names, "number", "longer", "shorter"])
+            cols = list(zip(*found)) if found else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names))), *map(pa.array, cols, kinds)], names=[*names, "number", "longest", "spelling", "rank"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return require(rows, *names, text_col).filter(F.col(text_col).rlike(r"[0-9０-９]")).mapInArrow(run, f"{kinds}, number string, longer string, shorter string")
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return require(rows, *names, text_col).filter(F.col(text_col).rlike(r"[0-9０-９]")).mapInArrow(run, f"{types}, number string, longest string, spelling string, rank int")
 
 
 def read_number(number: Column, decimal_mark: Column) -> Column:
@@ -256,38 +308,36 @@ def read_number(number: Column, decimal_mark: Column) -> Column:
 BROADCAST_ALIASES = 100_000
 
 
-def convert_mentions(found: DataFrame, aliases: DataFrame, units: DataFrame) -> DataFrame:
-    """Mentions whose spelling is a unit, with ``unit``, ``dimension``, ``value``, ``value_common``, ``is_common``.
+def convert_mentions(found: DataFrame, aliases: DataFrame, units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Mentions one of whose spellings is a unit: ``keys``, ``number``, ``unit``, ``dimension``, ``factor``, ``shift``, ``is_common``.
 
-    The longer spelling counts where it is a unit.  ``found`` needs ``number``,
-    ``longer``, ``shorter`` and ``decimal_mark``.
+    The longest spelling that is a unit counts; a mention of the same ``keys``
+    counts once.  Aggregated by mention, so hot documents are spread.
     """
     reference = require(units, "unit", "dimension", "factor", "shift", "is_common").dropDuplicates(["unit"])
     known = aliases.join(F.broadcast(reference), "unit")
     if known.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
         known = F.broadcast(known)
     measured = known.select("spelling", F.struct("unit", "dimension", "factor", "shift", "is_common").alias("_u"))
-    joined = (
-        found.join(measured.select(F.col("spelling").alias("longer"), F.col("_u").alias("_a")), "longer", "left")
-        .join(measured.select(F.col("spelling").alias("shorter"), F.col("_u").alias("_b")), "shorter", "left")
-        .withColumn("_u", F.coalesce("_a", "_b")).filter("_u is not null")
-        .withColumn("value", read_number(F.col("number"), F.col("decimal_mark"))).filter("value is not null")
-    )
-    rest = [c for c in found.columns if c not in ("longer", "shorter", "decimal_mark", "number")]
-    return joined.select(*rest, "number", "_u.unit", "_u.dimension", "value", (F.col("value") * F.col("_u.factor") + F.col("_u.shift")).alias("value_common"), "_u.is_common")
+    best = found.join(measured, "spelling").groupBy(*keys, "number", "longest").agg(F.min_by("_u", "rank").alias("_u"))
+    return best.select(*keys, "number", "_u.*").distinct()
 
 
 def quantities(rows: DataFrame, files: DataFrame, sites: DataFrame, units: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """Every quantity of ``rows`` (with ``origin`` and ``doc_id``) in its own and in the common unit.
 
-    The decimal mark is that of the document's site; documents without a site use
-    a full stop.  Repeated rows of one id count once.
+    Columns: ``origin``, ``doc_id``, ``id_col``, ``number``, ``unit``,
+    ``dimension``, ``value``, ``value_common``, ``is_common``.  The decimal mark is
+    that of the document's site; documents without a site use a full stop.
+    Repeated rows of one id count once, as do equal quantities of one text.
     """
+    keys = ("origin", "doc_id", id_col)
     mark = distinct_by(require(files, "doc_id", "site").filter("doc_id is not null and site is not null"), "doc_id", "site").join(F.broadcast(require(sites, "site", "decimal_mark").dropDuplicates(["site"])), "site")
     mark = mark.groupBy("doc_id").agg(F.min("decimal_mark").alias("decimal_mark"))
-    found = materialize(distinct_by(extract_mentions(rows, id_col, text_col), "origin", "doc_id", id_col, "number", "longer", "shorter"), "mentions")
-    spellings = distinct_by(found.select(F.explode(F.array_distinct(F.array("longer", "shorter"))).alias("spelling")), "spelling").filter("spelling <> ''")
-    return convert_mentions(found.join(mark, "doc_id", "left"), materialize(unit_aliases(spellings, units), "aliases"), units)
+    found = materialize(extract_mentions(rows, units, id_col, text_col), "mentions")
+    aliases = materialize(unit_aliases(found.select("spelling"), units), "aliases")
+    measured = convert_mentions(found, aliases, units, keys).join(mark, "doc_id", "left").withColumn("value", read_number(F.col("number"), F.col("decimal_mark"))).filter("value is not null")
+    return measured.select(*keys, "number", "unit", "dimension", "value", (F.col("value") * F.col("factor") + F.col("shift")).alias("value_common"), "is_common")
 
 
 def find_foreign_quantities(rows: DataFrame, files: DataFrame, sites: DataFrame, units: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

@@ -45,6 +45,26 @@ def test_columns(spark, tables):
     assert found(spark, tables, table, table.replace(" | ", "\t").replace("|---|---|---|---|---|\n", "")) == [[("bar", 200.0), ("kg", 7.0), ("kg", 8.0)]] * 2
 
 
+def test_tight_rows_long_units_and_unbounded_labels(spark, tables):
+    assert found(spark, tables, "AG-389|lining|25.5 metres|19.7 t/h|", "a\t25.5 metres\t19.7 t/h", "a;3 bar;4 MPa;ok", "P-1|x|2 bar||OK") == [[("m", 25500.0), ("t/h", 19700.0)]] * 2 + [[("MPa", 4000.0), ("bar", 300.0)], [("bar", 200.0)]]
+    assert found(spark, tables, "flow of 5 kilograms per hour", "7 cubic metres per hour then", "9 gallons per minute", "2 pounds per square inch", "1 t per hour", "3 t / h", "12 Kubikmeter pro Stunde", "6 metres per") == [
+        [("kg/h", 5.0)], [("m³/h", 7.0)], [("US gpm", 2.044)], [("psi", 13.79)], [("t/h", 1000.0)], [("t/h", 3000.0)], [("m³/h", 12.0)], [("m", 6000.0)],
+    ]
+    wide = "Tag of pump   Use   power (MW)   mass, t   Basis\nP-1   feed pump   16   4.5   \nP-2   old fan   -   7   OK"
+    assert found(spark, tables, wide, f"flow ({'x' * 5000}) = 3; at last ({' ' * 400}bar) = 2") == [[("MW", 16000.0), ("t", 4500.0), ("t", 7000.0)], [("bar", 200.0)]]
+
+
+def test_index_proposes_whatever_is_near(tables):
+    index = Q.UnitIndex([u[0] for u in UNITS])
+    rng = random.Random(7)
+    for name, _, _, most in index.names:
+        for _ in range(3):  # a sign of glue put anywhere, a change of case
+            at = rng.randrange(len(name) + 1)
+            s = name[:at] + rng.choice(" ._-") + name[at:]
+            assert Q.distance(s, name) > most or index.unit(s) is not None
+    assert index.unit("x" * 100_000) is None and index.unit("") is None and Q.UnitIndex([]).unit("bar") is None
+
+
 def test_number_notation(spark, tables):
     assert found(spark, tables, "1,234.5 bar", "2 345 kg", "−5.16 °C", "from -4 °C") == [[("bar", 123450.0)], [("kg", 2345.0)], [("°C", -5.16)], [("°C", -4.0)]]
     assert found(spark, tables, "1.234,5 bar", "0,5 MW", "12 345 kg", doc="d,") == [[("bar", 123450.0)], [("MW", 500.0)], [("kg", 12345.0)]]
