@@ -1,9 +1,12 @@
 """Texts that stop before their end.
 
-Values are sorted; a value that is a strict prefix of any other stands directly
-before one that continues it, so a comparison of neighbours finds all prefixes of
-longer copies.  The sort is a range partition plus a sort within partitions; the
-values at partition borders are compared in a second, tiny step.
+A text that is a strict prefix of a longer one elsewhere is found by hashed
+prefixes.  Every text gives the hash of its beginning at each fixed length (the
+powers of four up to its own); texts that agree there with another one form a
+group, and only in such groups are the longer texts cut at the lengths of the
+shorter ones and hashed again, now over the whole length.  Equal (length, hash) is
+a prefix.  Texts are never sorted or paired, and only those of groups are read a
+second time.
 
 A text of which no longer copy exists is judged by its end: by what was put in
 place of the rest, by the length at which its source cuts, and by whether its
@@ -14,29 +17,35 @@ stop) and which start closing lines (that don't) is counted over the whole table
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import plain
-from ..session import materialize, require
+from ..session import materialize, require, spread
 
 # What is put in place of a missing rest.
 MARKS = re.compile(r"(?:\.\.\.|…|�+|\[(?:\.\.\.|…|cut|more|truncated|gekürzt)\]|\((?:\.\.\.|…|cut|more|truncated|gekürzt)\)|<(?:cut|more|truncated)>|--+ ?(?:cut|more|truncated) ?--+)\s*$", re.I)
 
+_CLOSERS = "\"')]»”"
 _ENDED = re.compile(r"[.!?][\"')\]»”]*$")
 _SENTENCES = re.compile(r"(?<=[.!?])[\"')\]»”]*[ \t]+(?=[^\W_a-z])|\n+")
 _ITEM = re.compile(r"(?:[•◦▪·*–—-]|\(?\w{1,3}[.)])\s+\S")
 _CELLS = re.compile(r"\S(?: {2,}|\t)(?=\S)|\S(?: {2,}|\t)$")
 _CODE = "#"
 
-#: Open texts of one length from which a field limit of their source is concluded, and the share of the source's texts they need to be.
-LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
-#: Characters of a text by which it is assigned to a range.
-SORT_KEY = 160
+#: A length is a field limit of a source if so many open texts stop there (fewer agree by chance), at least this share of
+#: the source's texts, and at least this share of the texts of that length are open.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_OPEN = 3, 0.01, 0.9
+#: Fixed lengths at which beginnings are hashed: no text has more characters than the last.
+LEVELS = [4**k for k in range(16)]
+#: Openings a worker counts before it sends them on; bounds memory, not results.
+HELD_OPENINGS = 200_000
 
 
 def structural(lines: list[str]) -> str:
@@ -86,58 +95,93 @@ def tail_facts(text: str) -> tuple[str, str, str, str]:
 
 
 _COLUMNS = (
-    ("what", pa.string()), ("id", None), ("source", pa.string()), ("chars", pa.int64()), ("verdict", pa.string()), ("opening", pa.string()), ("pair", pa.string()),
-    ("place", pa.string()), ("inside", pa.bool_()), ("n", pa.int64()), ("n_ended", pa.int64()), ("part", pa.int64()), ("first", pa.string()), ("last", pa.string()),
+    ("what", pa.string()), ("id", None), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("hash", pa.binary()), ("keys", pa.list_(pa.int64())),
+    ("verdict", pa.string()), ("opening", pa.string()), ("pair", pa.string()), ("place", pa.string()), ("n", pa.int64()), ("n_ended", pa.int64()),
 )
 
 
+def level_keys(text: str) -> list[int]:
+    """Hash of the beginning of a text at each fixed length up to its own."""
+    return [xxhash.xxh3_64_intdigest(text[:n].encode()) - (1 << 63) for n in LEVELS[: own_level(len(text)) + 1]]
+
+
+def own_level(chars: int) -> int:
+    """Number of the largest fixed length that a text of so many characters has."""
+    return bisect_left(LEVELS, chars + 1) - 1
+
+
+def prefix_hashes(text: str, lengths: list[int]) -> Iterator[tuple[int, bytes]]:
+    """Hash of the text's beginning at each of some ascending lengths, in one pass over the text."""
+    h, at = md5(usedforsecurity=False), 0
+    for n in lengths:
+        h.update(text[at:n].encode())
+        at = n
+        yield n, h.copy().digest()
+
+
 def _scanner(ids: pa.DataType):
-    """Over a sorted partition: facts of each text, prefixes among neighbours, counts of openings, border texts."""
+    """Over texts in any order: facts of each text, and counts of openings."""
     schema = pa.schema([(name, kind or ids) for name, kind in _COLUMNS])
-    names = schema.names
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], schema.field(c).type) for c in names], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], schema.field(c).type) for c in schema.names], schema=schema)
+
+    def counted(counts: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
+        rows = [{"what": "opening", "opening": w, "n": n, "n_ended": e} for w, (n, e) in counts.items()]
+        for i in range(0, len(rows), 5000):
+            yield batch_of(rows[i : i + 5000])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         counts: dict[str, list[int]] = {}
-        waiting: list[dict] = []  # rows that hold the current text
-        current = first = None
         for batch in batches:
             out: list[dict] = []
             for key, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if text != current:
-                    if current is not None and continues(current, text):
-                        for x in waiting:
-                            x["inside"] = True
-                    out += waiting
-                    waiting, current = [], text
-                    first = text if first is None else first
-                    verdict, word, pair, place = tail_facts(text)
-                    _count_openings(text, counts)
-                waiting.append({"what": "text", "id": key, "source": source, "chars": len(text), "verdict": verdict, "opening": word, "pair": pair, "place": place, "inside": False})
+                verdict, word, pair, place = tail_facts(text)
+                _count_openings(text, counts)
+                raw = text.encode()
+                out.append({"what": "text", "id": key, "source": source, "chars": len(text), "bytes": len(raw), "hash": md5(raw, usedforsecurity=False).digest(), "keys": level_keys(text), "verdict": verdict, "opening": word, "pair": pair, "place": place})
             if out:
                 yield batch_of(out)
-        if current is not None:
-            rows = [{**x, "part": part} for x in waiting]
-            rows += [{"what": "opening", "opening": w, "n": n, "n_ended": e} for w, (n, e) in counts.items()]
-            rows.append({"what": "border", "part": part, "first": first, "last": current})
-            for i in range(0, len(rows), 5000):
-                yield batch_of(rows[i : i + 5000])
+            if len(counts) > HELD_OPENINGS:
+                yield from counted(counts)
+        yield from counted(counts)
 
     return run
 
 
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, lengths) to the (length, hash) of the beginnings that the text continues."""
+    for batch in batches:
+        rows: dict[tuple[int, bytes], None] = {}
+        for text, lengths in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            lengths = sorted({n for n in lengths if n < len(text)})
+            rows.update(((n, h), None) for n, h in prefix_hashes(text, lengths) if continues_at(text, n))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chars", "hash"])
+
+
+def continues_at(text: str, n: int) -> bool:
+    """True if a text cut after its first ``n`` characters would lack the rest of a word or sentence."""
+    i = n
+    while i < len(text) and text[i].isspace():
+        i += 1
+    if i == len(text):
+        return False
+    last, gap = text[n - 1], text[n:i]
+    if not gap and last.isalnum() and text[i].isalnum():
+        return True
+    end = n
+    while end and text[end - 1].isspace():
+        end -= 1
+    while end and text[end - 1] in _CLOSERS:
+        end -= 1
+    ended = end > 0 and text[end - 1] in ".!?"
+    return not (ended or "\n" in gap or last == "\n")
+
+
 def continues(short: str, long: str) -> bool:
     """True if ``long`` starts with ``short`` and goes on within its last word or sentence."""
-    if len(long) <= len(short) or not long.startswith(short):
-        return False
-    rest = long[len(short) :]
-    if not rest.strip():
-        return False
-    gap = rest[: len(rest) - len(rest.lstrip())]
-    return (not gap and rest[0].isalnum() and short[-1].isalnum()) or not (_ENDED.search(short.rstrip()) or "\n" in gap or short[-1] == "\n")
+    return bool(short) and len(long) > len(short) and long.startswith(short) and continues_at(long, len(short))
 
 
 def _count_openings(text: str, counts: dict[str, list[int]]) -> None:
@@ -151,47 +195,44 @@ def _count_openings(text: str, counts: dict[str, list[int]]) -> None:
                 c[1] += bool(_ENDED.search(s))
 
 
-def _by_text(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` (id, source, text) in ``n`` ranges of sorted texts.
+def _continued(texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct (``chars``, ``hash``) of the texts that a longer text continues within a word or sentence.
 
-    The ranges are cut by the first ``SORT_KEY`` characters, so that the sample of
-    keys that goes to the driver stays small.  Beginnings that many texts share are
-    told apart by what follows; they are few by definition (at most ``4 * n``).
+    A level's key is shared by all texts that begin alike, so a hot beginning meets
+    only combined rows: the least and the largest hash of its texts, and the
+    lengths of those that end before the next level.
     """
-    begin = F.substring("text", 1, SORT_KEY)
-    starts = rows.groupBy(F.xxhash64(begin).alias("_h")).agg(F.count("*").alias("_n"))
-    total = starts.agg(F.sum("_n")).scalar()
-    hot = starts.filter(F.col("_n") > F.greatest(total / F.lit(4 * n), F.lit(1))).select("_h", F.lit(True).alias("_hot"))
-    keyed = rows.join(F.broadcast(hot), F.xxhash64(begin) == F.col("_h"), "left")
-    more = F.when(F.col("_hot"), F.substring("text", SORT_KEY + 1, 8 * SORT_KEY)).otherwise("")
-    return keyed.repartitionByRange(n, begin, more).sortWithinPartitions("text").select("id", "source", "text")
+    keyed = facts.select("hash", "chars", F.size("keys").alias("_n"), F.posexplode("keys").alias("level", "key"))
+    own = F.when(F.col("level") == F.col("_n") - 1, F.col("chars"))
+    groups = keyed.groupBy("level", "key").agg(F.min("hash").alias("_a"), F.max("hash").alias("_b"), F.collect_set(own).alias("lengths"))
+    groups = groups.filter((F.col("_a") < F.col("_b")) & (F.size("lengths") > 0)).select("level", "key", "lengths", F.array_min("lengths").alias("_least"))
+    within = keyed.join(groups, ["level", "key"]).filter(F.col("chars") > F.col("_least"))
+    wanted = materialize(within.groupBy("hash").agg(F.flatten(F.collect_set("lengths")).alias("lengths")), "prefix-lengths")
+    again = texts.select("text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash")).join(wanted, "hash")
+    return again.select("text", "lengths").mapInArrow(_cutter, "chars bigint, hash binary").groupBy("chars", "hash").agg(F.lit(True).alias("inside"))
 
 
 def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None) -> DataFrame:
-    """How each text ends: ``id_col``, ``source_col``, ``chars``, ``verdict``, ``cut``.
+    """How each text ends: ``id_col``, ``source_col``, ``chars``, ``verdict``, ``cut``, ``evidence``.
 
     One row for each row with a text; null, empty and blank texts give none.
     Repeated texts are judged alike, whatever their ids; a null source is a source
-    of its own.
+    of its own.  ``evidence`` of a cut: ``prefix`` (a longer copy), ``mark`` (something
+    stands for the rest), ``limit`` (it stops at a field limit of its source),
+    ``sentence`` (its last word or sentence is not finished); null for texts that
+    are whole.  ``partitions`` spreads the texts of a few large files.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     ids = documents.schema[id_col].dataType
     own = require(documents, id_col, source_col, text_col).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _by_text(own.filter(F.col("text").rlike(r"(?U)\S")), n)
-    kinds = {"large_string": "string", "string": "string", "int64": "bigint", "bool": "boolean"}
+    texts = own.filter(F.col("text").rlike(r"(?U)\S"))
+    texts = texts.repartition(partitions) if partitions else spread(texts)
+    kinds = {"large_string": "string", "string": "string", "int64": "bigint", "bool": "boolean", "binary": "binary", "list<item: int64>": "array<bigint>"}
     schema = ", ".join(f"`{c}` {ids.simpleString() if k is None else kinds[str(k)]}" for c, k in _COLUMNS)
-    scanned = materialize(ordered.mapInArrow(_scanner(to_arrow_type(ids)), schema), "text-ends")
-    facts = scanned.filter("what = 'text'").select("id", "source", "chars", "verdict", "opening", "pair", "place", "inside", "part")
-
-    # Texts at partition borders: the last of a partition against the first of the next that has any (one row a partition).
-    border = scanned.filter("what = 'border'").select("part", "first", "last")
-    following = border.withColumn("next", F.lead("first").over(Window.orderBy("part"))).filter(F.startswith("next", "last"))
-    rest = F.expr("substring(next, length(last) + 1)")
-    in_word = rest.rlike(r"^[\p{L}\p{N}]") & F.col("last").rlike(r"[\p{L}\p{N}]$")
-    in_sentence = rest.rlike(r"\S") & ~F.col("last").rlike(r"[.!?][\"')\]»”]*\s*$|\n$") & ~rest.rlike(r"^\s*\n")
-    late = following.filter(in_word | in_sentence).select("part", F.lit(True).alias("late"))
+    scanned = materialize(texts.mapInArrow(_scanner(to_arrow_type(ids)), schema), "text-ends")
+    facts = scanned.filter("what = 'text'").select("id", "source", "chars", "bytes", "hash", "keys", "verdict", "opening", "pair", "place")
+    continued = _continued(texts, facts)
 
     # Openings: how many of the sentences that start so are finished by a full stop.
     words = scanned.filter("what = 'opening'").groupBy("opening").agg(F.sum("n_ended").alias("n_ended"), F.sum("n").alias("n")).withColumn("ended_share", F.col("n_ended") / F.col("n"))
@@ -201,18 +242,20 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         words.filter(~F.contains("opening", F.lit(" "))).join(F.broadcast(lengths), F.length("opening") >= F.col("k"))
         .groupBy(F.expr("left(opening, k)").alias("opening")).agg((F.sum("n_ended") / F.sum("n")).alias("begin_share"))
     )
-    # Field limits: the length at which most open texts of a source stop.
-    stops = facts.groupBy("source", "chars").agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("open", "marked")).alias("n_open"))
+    # Field limits, in characters or in bytes (where the last character may be lost): lengths at which the texts of a source stop again and again.
+    key = F.coalesce("source", F.lit("\x00")).alias("source_key")
+    stops = facts.select(key, F.col("verdict").isin("open", "marked").alias("open"), F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("size")))).alias("s"))
+    stops = stops.groupBy("source_key", "s.measure", "s.size").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
+    texts_of = facts.groupBy(key).agg(F.count("*").alias("n_all"))
     limits = (
-        stops.groupBy("source").agg(F.max_by("chars", F.struct("n_open", "chars")).alias("limit_chars"), F.max("n_open").alias("n_at"), F.sum("n").alias("n_all"))
-        .filter((F.col("n_at") >= LIMIT_TEXTS) & (F.col("n_at") >= LIMIT_SHARE * F.col("n_all")))
-        .select(F.coalesce("source", F.lit("\x00")).alias("source_key"), "limit_chars")
+        stops.filter((F.col("n_open") >= LIMIT_TEXTS) & (F.col("n_open") >= LIMIT_OPEN * F.col("n"))).join(texts_of, "source_key").filter(F.col("n_open") >= LIMIT_SHARE * F.col("n_all"))
+        .groupBy("source_key").agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("size"))).alias("_chars"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("size"))).alias("_bytes"))
     )
     joined = (
-        facts.join(words.select("opening", "ended_share"), "opening", "left").join(begins, "opening", "left").join(words.select(F.col("opening").alias("pair"), F.col("ended_share").alias("pair_share")), "pair", "left").join(late, "part", "left")
-        .withColumn("source_key", F.coalesce("source", F.lit("\x00"))).join(limits, "source_key", "left")
+        facts.drop("keys").join(words.select("opening", "ended_share"), "opening", "left").join(begins, "opening", "left").join(words.select(F.col("opening").alias("pair"), F.col("ended_share").alias("pair_share")), "pair", "left")
+        .join(continued, ["chars", "hash"], "left").withColumn("source_key", key).join(limits, "source_key", "left")
     )
-    at_limit = F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False))
+    at_limit = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.exists("_bytes", lambda most: F.col("bytes").between(most - 3, most)), F.lit(False))
     # A line of its own whose beginning starts sentences is a cut sentence; one with a beginning of its own is a closing line.
     unfinished = (
         F.when((F.col("place") == "inside") | ((F.col("place") == "word") & at_limit), True)
@@ -222,14 +265,12 @@ def text_ends(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .when(F.col("ended_share").isNotNull(), F.col("ended_share") >= 0.5)
         .otherwise(at_limit)  # part of a word
     )
-    cut = (
-        F.when(F.col("inside") | F.coalesce("late", F.lit(False)) | (F.col("verdict") == "marked"), True)
-        .when(F.col("verdict") == "ended", False)
-        .when(F.col("verdict") == "row", False)
-        .when(F.col("verdict") == "short", at_limit)
-        .otherwise(unfinished)
+    open_end = F.when(F.col("verdict") == "short", at_limit).when(F.col("verdict") == "open", unfinished).otherwise(False)
+    evidence = (
+        F.when(F.col("inside"), "prefix").when(F.col("verdict") == "marked", "mark")
+        .when(open_end & at_limit, "limit").when(open_end, "sentence")
     )
-    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "chars", "verdict", cut.alias("cut"))
+    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "chars", "verdict", evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
 
 
 def find_truncated(documents: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
@@ -238,9 +279,9 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", **columns) -> D
 
 
 def truncation_rates(documents: DataFrame, source_col: str = "source", **columns) -> DataFrame:
-    """How often each source cuts: ``source_col``, ``n_texts``, ``n_cut``, ``cut_share``; null sources form one row."""
+    """How often each source cuts: ``source_col``, ``n_texts``, ``n_cut``, ``n_cut`` by evidence, ``cut_share``; null sources form one row."""
     return (
         text_ends(documents, source_col=source_col, **columns).groupBy(source_col)
-        .agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"))
+        .agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), *[F.count_if(F.coalesce(F.col("evidence") == e, F.lit(False))).alias(f"n_{e}") for e in ("prefix", "mark", "limit", "sentence")])
         .withColumn("cut_share", F.try_divide("n_cut", "n_texts"))
     )

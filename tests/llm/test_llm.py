@@ -382,6 +382,25 @@ def test_prefixes_against_brute_force(spark, texts):
     assert want <= got
 
 
+def test_prefixes_along_all_copies(spark):
+    """A text is compared with every text that shares it, not with the next one; blanks alone continue nothing; copies don't matter."""
+    one = ["The pump was st", "The pump was st ", "The pump was st\t \n", "The pump was started."]
+    long = "The crew found scale behind the baffle. " * 400
+    texts = one + [long + "Then the se", long + "Then the seal was dry.", long] + ["Dry seal. " * 9 + "The ", "Dry seal. " * 9 + "The pump"] * 40
+    df = spark.createDataFrame([(i, t, "S") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    by = {r.doc_id for r in truncation.text_ends(df).filter("evidence = 'prefix'").collect()}
+    assert by == {i for i, t in enumerate(texts) if any(truncation.continues(t, u) for u in texts)} and {0, 4, 7, 9} <= by and not {1, 2, 3, 5, 6, 8} & by
+
+
+def test_limits_of_a_source(spark):
+    """Several limits of one source, one of them in bytes; the evidence names them."""
+    full = [(i, f"The line {i} carries oil to the pump. Keep the valve dry.", "S") for i in range(40)]
+    cut = [(100 + i, (f"Row {i}: die Pumpe läuft, " + "mit Öl und Dampf " * 20)[:120], "S") for i in range(3)]
+    cut += [(200 + i, (f"Row {i}: die Pumpe läuft, " + "ü" * i + "mit Öl und Dampf " * 20).encode()[: 200 - i].decode(errors="ignore"), "S") for i in range(3)]
+    rows = {r.doc_id: r for r in truncation.text_ends(spark.createDataFrame(full + cut, "doc_id bigint, text string, source string")).collect()}
+    assert {i for i, r in rows.items() if r.cut} == {c[0] for c in cut} and {rows[c[0]].evidence for c in cut[:3]} == {"limit"}
+
+
 # --- queries
 
 
