@@ -31,6 +31,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return one_form.find_lookalikes(texts, "row_id", scores=one_form.train_scores(texts))
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    texts = _texts(spark, root)
+    return one_form.lookalike_classes(texts, "row_id", scores=one_form.train_scores(texts))
+
+
 def p3_forms(spark: SparkSession, root: str) -> DataFrame:
     texts = _texts(spark, root)
     return one_form.one_form(texts, "row_id", keep=("origin",), scores=one_form.train_scores(texts))
@@ -74,7 +79,7 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_cleaned, p3_found, p3_forms, p4_found, p4_statistics, p5_found, p5_pieces, p6_ids, p7_found, p7_passages, p8_found, p8_rates)
+    for f in (p1_found, p1_cleaned, p3_found, p3_classes, p3_forms, p4_found, p4_statistics, p5_found, p5_pieces, p6_ids, p7_found, p7_passages, p8_found, p8_rates)
 }
 
 #: Where DuckDB can state the same result over whole tables.

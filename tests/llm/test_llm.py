@@ -79,6 +79,21 @@ def test_forms():
     assert f.form("Kлапaн") == f.form("Клапан") == "Клапан"
 
 
+def test_forms_by_compatibility_and_shape():
+    f = one_form.Forms()
+    for a, b in [("ﬁlter", "filter"), ("ｶﾞｽ", "ガス"), ("𝐏ump", "Pump"), ("￠", "¢"), ("ⅠⅤ", "IV"), ("Ⅳ", "IV"), ("a\u2003b", "a b"), ("x\ufe0f\u202ay", "xy"), ("օil", "oil"), ("Ꭺir", "Air"), ("ﷲ", "الله")]:
+        assert f.form(a) == f.form(b), (a, b)
+    for a, b in [("①", "1"), ("m²", "m2"), ("½", "1⁄2"), ("℃", "°C"), ("…", "..."), ("ſ", "s"), ("І", "l")]:
+        assert f.form(a) != f.form(b), (a, b)
+
+
+def test_scores_decide_between_shapes():
+    """The palochka is read as the letter that the bigrams make likely in its token."""
+    f = one_form.Forms({" l": -1.0, "le": -1.0, "ie": -9.0, " i": -2.0, "in": -1.0, "ln": -9.0})
+    assert f.form("Ӏevel") == f.form("level") != f.form("Ievel")
+    assert f.form("Ӏn") == f.form("In") == f.form("Іn") != f.form("ln")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aсoоeеКKлΔpр​­é́- ", max_size=12), st.text(alphabet="aсoоeеКKлΔpр​­é́- ", max_size=12))
 def test_equal_form_means_equal_look(a, b):
@@ -95,6 +110,8 @@ def test_lookalike_pairs(spark):
     assert one_form.find_lookalikes(df.filter("false"), "row_id").count() == 0
     extra = df.withColumn("form", F.lit(1)).withColumn("raw", F.lit(2)).withColumn("id_a", F.lit(3))
     assert {(r.origin, r.id_a, r.id_b) for r in one_form.find_lookalikes(extra, "row_id").collect()} == got
+    classes = [(r.origin, r.row_id, r["class"], r.wording) for r in one_form.lookalike_classes(df, "row_id").collect()]
+    assert {(a[0], a[1], b[1]) for a in classes for b in classes if a[::2] == b[::2] and a[3] != b[3] and a[1] < b[1]} == got
     forms = one_form.one_form(df, "row_id", keep=("origin",), scores=one_form.train_scores(df))
     assert forms.count() == df.count() and forms.filter("row_id = 'f'").first().form is None
 
