@@ -1,10 +1,15 @@
 """Text quality statistics of documents, and what their text mostly is.
 
-Long texts are cut into segments.  A segment yields partial counts over its whole
-lines and, as boundary state, the unfinished line at either end; merging two
-neighbours joins the left tail with the right head and counts the line if it is
-now whole.  The merge is associative, so segments can be combined in any tree;
-the counts of chunks then add up by document in Spark's partial aggregation.
+Long texts are cut into segments, which are dealt out over the cluster.  A segment
+yields partial counts over its whole lines and, as boundary state, the unfinished
+line at either end; merging two neighbours joins the left tail with the right head
+and counts the line if it is now whole.  The merge is associative, so the segments
+of a text are merged in Spark as a tree, block by block; the counts of chunks then
+add up by document in partial aggregation.
+
+The ratios of a document (words ended by a full stop, common words, signs, letters)
+go through rules; its lines are prose, list, table or junk.  Both are needed for a
+verdict, see ``document_statistics``.
 """
 
 from __future__ import annotations
@@ -18,10 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import plain
-from ..session import require
+from ..session import materialize, require, spread
 
-#: Characters of a segment; the result does not depend on it.
-SEGMENT = 65_536
+#: Characters of a segment, and segments that are merged at once: two rounds hold any text (2**31 bytes); the result depends on neither.
+SEGMENT, FAN_IN = 65_536, 256
+
+#: Rules on the ratios of a document: the share of lines with an end, of common words among words, of signs and of letters among
+#: characters that natural prose keeps.
+RULES = {"few_ended": "ended_share < 0.25", "few_common": "common_share < 0.15", "many_symbols": "symbol_ratio > 0.12", "few_letters": "letter_ratio < 0.6"}
+#: Failed rules without which no text is unnatural, and with which each text of so many words is.
+SOME_RULES, MOST_RULES, ENOUGH_WORDS = 1, 3, 20
 
 # Frequent words of the languages at hand.
 COMMON_WORDS = {
@@ -106,7 +117,7 @@ def _count(line: str, into: list[int]) -> None:
     into[1] += 1
     into[2] += len(words)
     into[3] += sum(map(len, words))
-    into[4] += sum(map(COMMON.__contains__, shown.lower().split()))
+    into[4] += sum(map(COMMON.__contains__, " ".join(words).lower().split(" ")))
     into[5] += len(_SYMBOL.findall(line))
     into[6] += bool(_ENDED.search(line.rstrip()))
     into[7 + KINDS.index(line_kind(shown, words))] += size
@@ -129,6 +140,12 @@ class Partial:
             _count(line, self.counts)
         self.counts[0] += text.count("\n")
 
+    @classmethod
+    def of(cls, counts: list[int], head: str, tail: str | None) -> Partial:
+        out = cls()
+        out.counts, out.head, out.tail = counts, head, tail
+        return out
+
     def merge(self, right: Partial) -> Partial:
         """The counts of both stretches, ``right`` following this one."""
         out = Partial()
@@ -151,35 +168,90 @@ class Partial:
         return counts
 
 
-def text_counts(text: str, segment: int = SEGMENT) -> list[int]:
-    """Counts of a text, measured segment by segment and merged as a balanced tree."""
-    level = [Partial(text[i : i + segment]) for i in range(0, len(text), segment)] or [Partial()]
+def _merged(level: list[Partial]) -> Partial:
+    """Neighbouring partials as one, merged as a balanced tree."""
     while len(level) > 1:
         level = [a.merge(b) for a, b in zip(level[::2], level[1::2])] + ([level[-1]] if len(level) % 2 else [])
-    return level[0].finish()
+    return level[0]
 
 
-def chunk_counts(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", recorded_col: str = "char_count") -> DataFrame:
+def text_counts(text: str, segment: int = SEGMENT) -> list[int]:
+    """Counts of a text, measured segment by segment."""
+    return _merged([Partial(text[i : i + segment]) for i in range(0, len(text), segment)] or [Partial()]).finish()
+
+
+def chunk_counts(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", recorded_col: str = "char_count", segment: int = SEGMENT) -> DataFrame:
     """Counts of each chunk, once for each id: ``id_col``, ``doc_col``, ``recorded_col`` and ``COUNTS``.
 
     Chunks loaded twice count once (the row of most characters, then of the larger
     record stands for the id); null and empty texts have counts of 0.  Rows with a
-    null id are told apart by their document and text.
+    null id are told apart by their document and text.  Texts of more than
+    ``segment`` characters are counted by segments, in many tasks.
     """
     kinds = {c: chunks.schema[c].dataType.simpleString() for c in (id_col, doc_col, recorded_col)}
+    names = [id_col, doc_col, recorded_col]
+    own = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    counts = ", ".join(f"{c} bigint" for c in COUNTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a text within one segment; else its segments, uncounted."""
+        for batch in batches:
+            take: list[int] = []
+            rows: list[tuple] = []
+            for i, (item, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                text = text or ""
+                key = blake2b(text.encode(), digest_size=16).hexdigest() if item is None or len(text) > segment else None
+                if len(text) <= segment:
+                    take.append(i)
+                    rows.append((key, None, None, *text_counts(text)))
+                    continue
+                for n, at in enumerate(range(0, len(text), segment)):
+                    take.append(i)
+                    rows.append((key, n, text[at : at + segment], *[0] * len(COUNTS)))
+                    if len(rows) >= 256:
+                        yield _measured(batch, names, take, rows)
+                        take, rows = [], []
+            yield _measured(batch, names, take, rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            rows = [text_counts(t or "") for t in texts]
-            cols = list(zip(*rows)) if rows else [()] * len(COUNTS)
-            keys = [blake2b((t or "").encode(), digest_size=16).hexdigest() if i is None else None for i, t in zip(batch.column(0).to_pylist(), texts)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, doc_col, recorded_col, "_key", *COUNTS])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", _key string, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    measured = require(chunks, id_col, doc_col, recorded_col, text_col).mapInArrow(run, schema)
+            partials = [Partial(t) for t in batch.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "_key", "part")), *_columns(partials)], names=[*names, "_key", "part", *COUNTS, "head", "tail"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """The partials of neighbouring segments as one; segments of repeated rows count once."""
+        rows = {r["part"]: r for r in table.to_pylist()}
+        whole = _merged([Partial.of([r[c] for c in COUNTS], r["head"], r["tail"]) for _, r in sorted(rows.items())])
+        same = table.slice(0, 1)
+        return pa.table([*(same.column(c) for c in (*names, "_key")), pa.array([min(rows) // FAN_IN], pa.int64()), *_columns([whole])], names=[*names, "_key", "part", *COUNTS, "head", "tail"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [Partial.of([r[c] for c in COUNTS], r["head"], r["tail"]).finish() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "_key")), *(pa.array([d[i] for d in done], pa.int64()) for i in range(len(COUNTS)))], names=[*names, "_key", *COUNTS])
+
+    measured = materialize(spread(require(chunks, *names, text_col)).mapInArrow(measure, f"{own}, _key string, part bigint, piece string, {counts}"), "text-counts")
+    partial = f"{own}, _key string, part bigint, {counts}, head string, tail string"
+    parts = measured.filter("part is not null").select(*names, "_key", "part", "piece")
+    parts = parts.repartition(F.col("_key"), F.col("part")).mapInArrow(count, partial)
+    for _ in range(2):
+        parts = parts.groupBy(*names, "_key", F.floor(F.col("part") / FAN_IN).alias("_block")).applyInArrow(merge, partial)
+    long = parts.mapInArrow(finish, f"{own}, _key string, {counts}")
+    every = measured.filter("part is null").select(*names, "_key", *COUNTS).unionByName(long.withColumn("_key", F.when(F.col(f"`{id_col}`").isNull(), F.col("_key"))))
     best = F.max(F.struct("n_chars", *COUNTS[1:], recorded_col)).alias("_m")
-    return measured.groupBy(id_col, doc_col, "_key").agg(best).select(id_col, doc_col, f"_m.{recorded_col}", *(f"_m.{c}" for c in COUNTS))
+    return every.groupBy(id_col, doc_col, "_key").agg(best).select(id_col, doc_col, f"_m.{recorded_col}", *(f"_m.{c}" for c in COUNTS))
+
+
+def _measured(batch: pa.RecordBatch, names: list[str], take: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    at = pa.array(take, pa.int64())
+    cols = list(zip(*rows)) if rows else [()] * (3 + len(COUNTS))
+    arrays = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * len(COUNTS)))]
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *arrays], names=[*names, "_key", "part", "piece", *COUNTS])
+
+
+def _columns(partials: list[Partial]) -> list[pa.Array]:
+    counts = [pa.array([p.counts[i] for p in partials], pa.int64()) for i in range(len(COUNTS))]
+    return [*counts, pa.array([p.head for p in partials], pa.string()), pa.array([p.tail for p in partials], pa.string())]
 
 
 def document_statistics(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", recorded_col: str = "char_count") -> DataFrame:
@@ -188,10 +260,15 @@ def document_statistics(chunks: DataFrame, id_col: str = "chunk_id", doc_col: st
     Columns: the sums of ``COUNTS``, ``recorded_chars`` (sum of the recorded sizes,
     nulls left out), ``n_chunks``, ``n_wrong_size`` (chunks whose record is not the
     true length), ``mean_word_len``, ``symbol_ratio``, ``ended_share``,
-    ``common_share``, the shares of the four kinds, and ``kind``: what most of the
-    text is if more than half of it is no prose, else ``prose``; null for
-    documents without text.  Ratios without a base are null.  Ties between kinds
-    go to table, then list, then junk.
+    ``common_share``, ``letter_ratio``, the shares of the four kinds, whether each of
+    ``RULES`` fails and ``n_failed``, and ``kind``.  Ratios without a base are null and
+    fail no rule.
+
+    A document is unnatural if more than half of the characters of its lines are no
+    prose and its ratios fail at least one rule, or if the ratios of a text of enough
+    words fail most of them.  ``kind`` then is what most of its other lines are (ties:
+    table, list, junk), ``junk`` where all seem prose; else it is ``prose``, and null
+    for documents without text.
     """
     per = chunk_counts(chunks, id_col, doc_col, text_col, recorded_col)
     sums = per.groupBy(doc_col).agg(
@@ -204,15 +281,20 @@ def document_statistics(chunks: DataFrame, id_col: str = "chunk_id", doc_col: st
     other = part["list"] + part["table"] + part["junk"]
     total = other + part["prose"]
     most = F.greatest(part["list"], part["table"], part["junk"])
-    return sums.select(
+    ratios = sums.select(
         doc_col, *COUNTS, "recorded_chars", "n_chunks", "n_wrong_size",
         F.try_divide("word_chars", "n_words").alias("mean_word_len"),
         F.try_divide("n_symbols", "n_chars").alias("symbol_ratio"),
         F.try_divide("n_ended", "n_lines").alias("ended_share"),
         F.try_divide("n_common", "n_words").alias("common_share"),
+        F.try_divide("word_chars", "n_chars").alias("letter_ratio"),
         *[F.try_divide(part[k], total).alias(f"share_{k}") for k in KINDS],
-        F.when(F.col("n_lines") == 0, None).when(other * 2 <= total, "prose").when(part["table"] == most, "table").when(part["list"] == most, "list").otherwise("junk").alias("kind"),
     )
+    ruled = ratios.select("*", *[F.coalesce(F.expr(rule), F.lit(False)).alias(name) for name, rule in RULES.items()])
+    ruled = ruled.withColumn("n_failed", sum((F.col(name).cast("int") for name in RULES), F.lit(0)))
+    unnatural = ((other * 2 > total) & (F.col("n_failed") >= SOME_RULES)) | ((F.col("n_failed") >= MOST_RULES) & (F.col("n_words") >= ENOUGH_WORDS))
+    kind = F.when(F.col("n_lines") == 0, None).when(~unnatural, "prose").when(other == 0, "junk").when(part["table"] == most, "table").when(part["list"] == most, "list").otherwise("junk")
+    return ruled.withColumn("kind", kind)
 
 
 def find_unnatural(chunks: DataFrame, **columns: str) -> DataFrame:

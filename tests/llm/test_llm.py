@@ -161,6 +161,31 @@ def test_statistics(spark):
     assert quality.document_statistics(df.filter("false")).count() == 0
 
 
+def test_long_texts_are_counted_in_many_tasks(spark):
+    """Segments are dealt out, merged in two rounds, and give the counts of the whole; repeated rows count once."""
+    line = "The pump is here, and the valve is not.\n"
+    texts = {"a": line * 700, "b": "x" * 5000, "c": "| a | pump | 3 |\n" * 900 + "end", "d": line, "e": "\n" * 3000}
+    rows = [(i, "D", t, len(t)) for i, t in texts.items()] + [("a", "D", texts["a"], 28_000), (None, "D", texts["c"], 1), (None, "D", texts["c"], 1), (None, "D", texts["a"], 1)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, char_count int")
+    got = sorted((r.chunk_id or "-", *(r[c] for c in quality.COUNTS)) for r in quality.chunk_counts(df, segment=41).collect())
+    assert got == sorted((i, *quality.text_counts(t)) for i, t in [*texts.items(), ("-", texts["c"]), ("-", texts["a"])])
+
+
+def test_common_words_beside_signs():
+    counts = dict(zip(quality.COUNTS, quality.text_counts("The pump, and the valve. Not now, then.")))
+    assert (counts["n_words"], counts["n_common"]) == (8, 5)
+
+
+def test_rules_on_ratios(spark):
+    """Prose by its ratios is never unnatural; text whose ratios fail most rules always is."""
+    prose = "\n".join(f"{n}. The pump is in use when the valve of the line has been shut." for n in range(1, 30))
+    odd = "\n".join(["Zug Rohr 12345678901234 Naht 123456789012 Blech 1234567"] * 12)
+    df = spark.createDataFrame([("a", "p", prose, 1), ("b", "o", odd, 1)], "chunk_id string, doc_id string, text string, char_count int")
+    got = {r.doc_id: r for r in quality.document_statistics(df).collect()}
+    assert got["p"].share_list > 0.9 and got["p"].n_failed == 0 and got["p"].kind == "prose"
+    assert got["o"].n_failed >= 3 and got["o"].kind == "junk"
+
+
 # --- 5: splitting
 
 
