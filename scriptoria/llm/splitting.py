@@ -1,15 +1,18 @@
 """Cutting of oversized texts at natural boundaries, with overlap.
 
-A text is a tree: sections under headings, paragraphs, lines (list items, table
-rows), sentences, words, characters.  A node that fits is one block; only a node
-that doesn't is opened, and what its children yield is merged with their
-neighbours as long as the limit allows.  So a cut falls on the highest level of
-the tree at which the pieces still fit.
+A text is a tree: sections nested by the level of their headings, paragraphs, list
+items nested by indent, lines, and below them sentences, words and characters.  A
+node that fits is one block; only a node that doesn't is opened.  Siblings that are
+whole merge as long as the limit allows, from the bottom of the tree up; the pieces
+of an opened node stay within it.  So a cut falls on the highest level of the tree
+at which the pieces still fit, and no piece joins the end of one section with the
+beginning of the next one above it.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -22,66 +25,164 @@ from ..session import require
 #: Signs between the pieces that count as tokens.
 SPACES = " \t\n\r"
 _TOKEN = re.compile(rf"[^{SPACES}]+")
-# Boundaries of each level, highest first; a match ends at the start of the next child.
+# Boundaries within a line, highest first; a match ends at the start of the next part.
 _LEVELS: tuple[re.Pattern[str], ...] = (
-    re.compile(r"\n(?=[ \t]{0,3}#{1,6}[ \t]+\S)"),
-    re.compile(r"\r?\n[ \t\r]*\n\s*"),
-    re.compile(r"\r\n?|\n"),
     re.compile(r"[.!?…][\"'”»)\]]*[ \t]+(?=[^\W_a-z])|[;:][ \t]+"),
     re.compile(rf"[{SPACES}]+"),
 )
+_LINE = re.compile(r"[^\r\n]*(?:\r\n?|\n)|[^\r\n]+")
+_HEADING = re.compile(r"[ \t]{0,3}(#{1,6})[ \t]+\S")
+_LISTED = re.compile(r"([ \t]*)(?:[•◦▪·*+–—-]|\(?\w{1,3}[.)])[ \t]+\S")
+_INDENT = re.compile(r"[ \t]*")
 
+# Ranks of nodes: a new node ends all open ones of its own rank or above. Headings have their level.
+_PARAGRAPH, _ITEM, _OF_LINE = 10, 20, 30
+#: Open nodes at most; list items nested still deeper are siblings of the deepest.
+DEPTH = 100
 
-_LINES = 2
-_HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+\S")
 
+class Node:
+    """A stretch of text with the stretches it consists of."""
 
-def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    spans = list(zip([start, *cuts], [*cuts, end]))
-    if level != _LINES:
-        return spans
-    out: list[tuple[int, int]] = []
-    for a, b in spans:  # a heading stays with the line below it
-        if out and _HEADING.match(text, *out[-1]):
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+    __slots__ = ("children", "end", "indent", "rank", "start")
+
+    def __init__(self, rank: int, start: int, indent: int = 0):
+        self.rank, self.start, self.end, self.indent = rank, start, start, indent
+        self.children: list[Node] = []
 
 
-def blocks(text: str, start: int, end: int, size: Callable[[int, int], int], limit: int, atomic: bool, level: int = 0) -> list[tuple[int, int]]:
-    """Consecutive ranges of ``text[start:end]``, each within ``limit``.
+def structure(text: str) -> Node:
+    """Tree of sections, paragraphs, list items and lines, built in one pass over the lines.
 
-    Neighbours that are whole children of one node merge as long as they fit; the
-    pieces of a child that had to be opened stay within it.  ``atomic``: words may
-    not be cut (one word is one unit of size).
+    Blank lines belong to what is above them, a heading to the line below it.
     """
-    if size(start, end) <= limit or start >= end:
-        return [(start, end)]
-    if level == len(_LEVELS):
-        return [(start, end)] if atomic else [(i, min(i + limit, end)) for i in range(start, end, limit)]
-    out: list[tuple[int, int]] = []
-    open_ = False  # the last range is a run of whole children
-    for a, b in _children(text, start, end, level):
-        if size(a, b) > limit:
-            out += blocks(text, a, b, size, limit, atomic, level + 1)
-            open_ = False
-        elif open_ and size(out[-1][0], b) <= limit:
-            out[-1] = (out[-1][0], b)
+    root = Node(0, 0)
+    path = [root]
+
+    def close(at: int, ends) -> None:
+        while len(path) > 1 and ends(path[-1]):
+            path.pop().end = at
+
+    def add(rank: int, at: int, indent: int = 0) -> None:
+        node = Node(rank, at, indent)
+        path[-1].children.append(node)
+        path.append(node)
+
+    blank = True  # the next line starts a paragraph
+    under = False  # the next line belongs to the heading above
+    for m in _LINE.finditer(text):
+        at, line = m.start(), m.group()
+        if not line.strip():
+            blank = True
+            continue
+        if h := _HEADING.match(line):
+            if not under:
+                level = len(h[1])
+                close(at, lambda n, level=level: n.rank >= level)
+                add(level, at)
+                add(_PARAGRAPH, at)
+                add(_OF_LINE, at)
+            blank, under = False, True
+            continue
+        if under:
+            blank = under = False
+            continue
+        if blank:
+            close(at, lambda n: n.rank >= _PARAGRAPH)
+            add(_PARAGRAPH, at)
+            blank = False
+        indent = len(_INDENT.match(line)[0].expandtabs(4))
+        if _LISTED.match(line):
+            close(at, lambda n: n.rank == _OF_LINE or n.rank == _ITEM and (n.indent >= indent or len(path) > DEPTH))  # noqa: B023
+            add(_ITEM, at, indent)
         else:
-            out.append((a, b))
-            open_ = True
+            close(at, lambda n: n.rank == _OF_LINE or n.rank == _ITEM and n.indent >= indent)  # noqa: B023
+        add(_OF_LINE, at)
+    close(len(text), lambda _: True)
+    root.end = len(text)
+    for first in _first_line(root):  # blank lines before the first line
+        first.start = 0
+    return root
+
+
+def _first_line(node: Node) -> Iterator[Node]:
+    while node.children:
+        node = node.children[0]
+        yield node
+
+
+def _joined(text: str, i: int) -> bool:
+    """True if a cut before character ``i`` would part signs that are read as one."""
+    c, before = text[i], text[i - 1]
+    if unicodedata.category(c)[0] == "M" or "\u200d" in (c, before) or 0x1F3FB <= ord(c) <= 0x1F3FF:
+        return True
+    if 0x1160 <= ord(c) <= 0x11FF:  # vowels and finals of a syllable
+        return 0x1100 <= ord(before) <= 0x11FF
+    if 0x1F1E6 <= ord(c) <= 0x1F1FF:  # flags are pairs
+        n = 0
+        while n < i and 0x1F1E6 <= ord(text[i - 1 - n]) <= 0x1F1FF:
+            n += 1
+        return n % 2 == 1
+    return False
+
+
+def _by_character(text: str, start: int, end: int, limit: int) -> list[tuple[int, int]]:
+    out = []
+    while start < end:
+        cut = min(start + limit, end)
+        if cut < end:
+            while cut > start and (_joined(text, cut) or text[cut - 1 : cut + 1] == "\r\n"):
+                cut -= 1
+            if cut == start:  # one sign larger than the limit
+                cut = start + limit
+        out.append((start, cut))
+        start = cut
     return out
 
 
+def blocks(text: str, size: Callable[[int, int], int], limit: int, atomic: bool) -> list[tuple[int, int]]:
+    """Consecutive ranges of ``text``, each within ``limit``.
+
+    ``atomic``: words may not be cut (one word is one unit of size).
+    """
+
+    def packed(parts: list[tuple[int, int, Callable[[], list[tuple[int, int]]]]]) -> list[tuple[int, int]]:
+        """Ranges of siblings: whole ones merge as long as they fit, others are opened."""
+        out: list[tuple[int, int]] = []
+        whole = False  # the last range is a run of whole siblings
+        for a, b, opened in parts:
+            if size(a, b) > limit:
+                out += opened()
+                whole = False
+            elif whole and size(out[-1][0], b) <= limit:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+                whole = True
+        return out
+
+    def of_node(node: Node) -> list[tuple[int, int]]:
+        if not node.children:
+            return within(node.start, node.end, 0)
+        return packed([(n.start, n.end, lambda n=n: of_node(n)) for n in node.children])
+
+    def within(start: int, end: int, level: int) -> list[tuple[int, int]]:
+        if level == len(_LEVELS):
+            return [(start, end)] if atomic else _by_character(text, start, end, limit)
+        cuts = [m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end]
+        return packed([(a, b, lambda a=a, b=b: within(a, b, level + 1)) for a, b in zip([start, *cuts], [*cuts, end])])
+
+    return [(0, len(text))] if size(0, len(text)) <= limit else of_node(structure(text))
+
+
 def split_text(text: str, measure: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
     """Ranges of the pieces of a text: each within ``max_size``, each after the first starting ``overlap`` units before the end of the one before.
 
     The pieces without their overlap follow one another and make up the whole
     text.  ``measure`` is ``tokens`` (runs without space, tab, line feed, carriage
     return) or ``chars`` (code points).  An overlap that would leave no room is
-    cut to ``max_size - 1``.
+    cut to ``max_size - 1``; one that would begin inside a sign of several code
+    points (a letter and its accent) begins after it.
     """
     if measure == "tokens":
         starts = [m.start() for m in _TOKEN.finditer(text)]
@@ -96,11 +197,14 @@ def split_text(text: str, measure: str, max_size: int, overlap: int) -> list[tup
     if size(0, len(text)) <= max_size:
         return [(0, len(text))]
     overlap = max(0, min(overlap, max_size - 1))
-    own = blocks(text, 0, len(text), size, max_size - overlap, measure == "tokens")
+    own = blocks(text, size, max_size - overlap, measure == "tokens")
 
     def back(a: int) -> int:
         if measure == "chars" or not overlap:
-            return max(0, a - overlap)
+            at = max(0, a - overlap)
+            while 0 < at < a and _joined(text, at):
+                at += 1
+            return at
         n = bisect_left(starts, a) - overlap
         return starts[n] if n >= 0 else 0
 

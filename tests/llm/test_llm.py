@@ -220,6 +220,31 @@ def test_natural_boundaries():
         splitting.split_text("a b", "words", 1, 0)
 
 
+def test_sections_nest_and_lists_nest():
+    cut = lambda text, most, measure="tokens": [text[a:b] for a, b in splitting.split_text(text, measure, most, 0)]
+    w = lambda n: " ".join(["word"] * n)
+    text = f"# A\n{w(30)}\n## A1\n{w(30)}\n## A2\n{w(30)}\n# B\n{w(30)}\n"
+    assert [p[:4].strip() for p in cut(text, 80)] == ["# A", "## A", "# B"] and cut(text, 80)[1].startswith("## A2")
+    assert cut(text, 300) == [text] and len(cut(text, 99)) == 2
+    items = "- a b c\n  - a1 x\n  - a2 x\n- d e f\n  more of d\n  - d1 x\ntail line here"
+    assert cut(items, 11) == ["- a b c\n  - a1 x\n  - a2 x\n", "- d e f\n  more of d\n  - d1 x\n", "tail line here"]
+    assert cut(items, 7) == ["- a b c\n  - a1 x\n", "  - a2 x\n", "- d e f\n  more of d\n", "  - d1 x\n", "tail line here"]
+    deep = "".join(f"{' ' * i}- item\n" for i in range(3000))
+    assert "".join(cut(deep, 2)) == deep and len(cut(deep, 2)) == 3000
+    blank = "\n \n# A\n\none two\n\nthree four\n"
+    assert cut(blank, 4) == ["\n \n# A\n\none two\n\n", "three four\n"]
+
+
+def test_no_cut_inside_a_sign():
+    e, flag, family = "e\u0301", "\U0001f1e9\U0001f1ea", "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    for sign, most in ((e, 3), (flag, 3), (family, 7), ("한", 4)):
+        text = sign * 9
+        for overlap in (0, 1):
+            for a, b in splitting.split_text(text, "chars", most, overlap):
+                assert a % len(sign) == 0 and b % len(sign) == 0 and 0 < b - a <= most
+    assert [b - a for a, b in splitting.split_text("a" + "\u0301" * 9, "chars", 4, 0)] == [4, 4, 2]
+
+
 def test_oversized(spark):
     rows = [("a", "one two three four", "H", {"profile": "t"}), ("a", "one two three four", "H", {"profile": "t"}), ("b", "one two", None, {"profile": "t"}), ("c", "x" * 9, "", {"profile": "k"}), ("d", None, "H", {"profile": "t"}), ("e", "many words without a known profile", "H", {"profile": "?"}), ("f", "w " * 9, "H", None), (None, "one two three four", "H", {"profile": "t"}), ("g", "a b c", "H", {"profile": "t"}), ("h", "", None, {"profile": "k"})]
     df = spark.createDataFrame(rows, "chunk_id string, text string, heading string, metadata map<string,string>")
