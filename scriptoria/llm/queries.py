@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -57,6 +57,24 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_oversized(table(spark, root, "chunks"), table(spark, root, "chunk_limits"))
 
 
+def p5_audit(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces of each oversized chunk that break a rule: of size, text, heading, order, overlap, or the end of the text."""
+    chunks, limits = table(spark, root, "chunks"), table(spark, root, "chunk_limits")
+    pieces = splitting.split_oversized(chunks, limits, oversized_only=True)
+    whole = splitting.with_limits(chunks, limits).select(F.col("item").alias("chunk_id"), F.col("text").alias("whole"), F.col("heading").alias("own"), "measure", "max_size", "overlap_size").distinct()
+    before = F.lag("end").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    both = pieces.withColumn("before", before).join(whole, "chunk_id")
+    size, shared = (splitting.text_size(t, F.col("measure")) for t in (F.col("text"), F.expr("substring(whole, start + 1, before - start)")))
+    wanted = F.least("overlap_size", splitting.text_size(F.expr("left(whole, before)"), F.col("measure")))
+    late = (shared < wanted) & F.expr("substring(whole, start, 1)").rlike(r"\p{M}")  # the overlap begins after a letter and its marks
+    wrong = (
+        (size > F.col("max_size")) | (F.col("text") != F.expr("substring(whole, start + 1, `end` - start)")) | ~F.col("heading").eqNullSafe(F.col("own"))
+        | F.coalesce((F.col("start") > F.col("before")) | (F.col("end") <= F.col("before")) | ((shared != wanted) & ~late), F.col("start") != 0)
+        | (F.col("piece_no") == F.col("n_pieces") - 1) & (F.col("end") != F.length("whole"))
+    )
+    return both.groupBy("chunk_id").agg(F.count_if(wrong).alias("n_wrong"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, root, "documents"))
 
@@ -79,14 +97,16 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_cleaned, p3_found, p3_classes, p3_forms, p4_found, p4_statistics, p5_found, p5_pieces, p6_ids, p7_found, p7_passages, p8_found, p8_rates)
+    for f in (p1_found, p1_cleaned, p3_found, p3_classes, p3_forms, p4_found, p4_statistics, p5_found, p5_pieces, p5_audit, p6_ids, p7_found, p7_passages, p8_found, p8_rates)
 }
 
 #: Where DuckDB can state the same result over whole tables.
+_OVERSIZED = """
+    from chunks join chunk_limits l on l.profile = metadata['profile']
+    where case l.measure when 'chars' then length(text)
+          else len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda t: t <> '')) end > l.max_size
+"""
 ORACLE: dict[str, str] = {
-    "p5_found": """
-        select distinct chunk_id from chunks join chunk_limits l on l.profile = metadata['profile']
-        where case l.measure when 'chars' then length(text)
-              else len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda t: t <> '')) end > l.max_size
-    """,
+    "p5_found": f"select distinct chunk_id {_OVERSIZED}",
+    "p5_audit": f"select distinct chunk_id, 0::bigint as n_wrong {_OVERSIZED}",
 }
