@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import ALL, plain
-from ..session import require
+from ..session import require, spread
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -86,19 +89,37 @@ class TestTexts:
         if len(words) < self.fewest:
             return []
         line = f" {' '.join(words)} "
-        found: dict[tuple[int, int, int, int], None] = {}
+        starts = [0, *accumulate(len(w) + 1 for w in words)]  # place of the blank before each word
+        found: list[tuple[int, int, int, int]] = []
+        done: dict[tuple[int, int], int] = {}  # test text and shift -> end of the last run there
         for end, (length, size, places) in self.automaton.iter(line):
-            w = line.count(" ", 0, end - length + 2) - 1
+            w = bisect_left(starts, end - length + 1)
             for n, at in places:
+                if w + size <= done.get((n, w - at), 0):
+                    continue  # within a run that another block found
                 own = self.items[n][2]
                 a, b, x, y = at, at + size, w, w + size
                 while a > 0 and x > 0 and own[a - 1] == words[x - 1]:
                     a, x = a - 1, x - 1
                 while b < len(own) and y < len(words) and own[b] == words[y]:
                     b, y = b + 1, y + 1
+                done[n, w - at] = y
                 if b - a >= min(self.min_words, len(own)):
-                    found[n, a, x, b - a] = None
-        return list(found)
+                    found.append((n, a, x, b - a))
+        return found
+
+
+#: Automata of the latest test sets of this worker, by the name that the driver gave them.
+_BUILT: dict[str, TestTexts] = {}
+
+
+def _built(name: str, shared, min_words: int, short: bool) -> TestTexts:
+    """Automaton of a broadcast test set, built once by each worker."""
+    if name not in _BUILT:
+        while len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = TestTexts(shared.value, min_words, short)
+    return _BUILT[name]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, text_cols: tuple[str, ...] = ("passage",), min_words: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", short: bool = False) -> DataFrame:
@@ -129,7 +150,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, text_cols: tuple[str, ...
     item_type = items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {doc_type}, `{item_col}` {item_type}, field string, n_words int, item_word int, `start` int, `end` int"
     spark = documents.sparkSession
-    docs = require(documents, id_col, text_col).filter(F.length(text_col) > 0)
+    docs = spread(require(documents, id_col, text_col).filter(F.col(text_col) != ""))
     parts = [docs.mapInArrow(_scanner(spark.sparkContext.broadcast(s), min_words, short, items.schema[item_col].dataType, id_col, item_col), schema) for s in sets]
     out = parts[0]
     for p in parts[1:]:
@@ -142,8 +163,10 @@ def _scanner(shared, min_words: int, short: bool, item_type, id_col: str, item_c
 
     arrow_item = to_arrow_type(item_type)
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestTexts(shared.value, min_words, short)
+        tests = _built(name, shared, min_words, short)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             take: list[int] = []

@@ -372,6 +372,15 @@ def test_short_texts_against_brute_force(docs, items, most):
     assert {(n, tests.items[h[0]][0]) for n, t in d for h in tests.runs(t)} == want
 
 
+def test_many_hits_take_linear_time():
+    """Repeats of a passage, and one passage of many blocks, cost no more for each word the longer the text is."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    tests = leakage.TestTexts([(1, "passage", passage), (2, "passage", long)])
+    hits = tests.runs(" x ".join([passage] * 20_000) + " " + long)
+    assert len(hits) == 20_001 and hits[-1][0] == 1 and hits[-1][3] == 60_000 and {h[3] for h in hits[:-1]} == {30}
+
+
 def test_question_query(spark, tmp_path):
     spark.createDataFrame([(1, "He asked which pump feeds the north rack at night.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(10, "Which pump feeds the north rack at night?", None)], "item_id bigint, question string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
