@@ -238,7 +238,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, id_col: str = "chunk_i
     count code points of the stored text.  Chunks loaded twice with the same text,
     heading and profile count once.  ``oversized_only`` leaves out the chunks within their limit.
     """
-    sized = with_limits(chunks, limits, id_col, text_col, heading_col, profile).dropDuplicates(["item", "text", "heading", "profile"])
+    sized = with_limits(chunks, limits, id_col, text_col, heading_col, profile)
+    once = ["item", "text", "heading", "profile"]
     large = F.coalesce(F.col("size") > F.col("max_size"), F.lit(False))
     kind = chunks.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece_no int, n_pieces int, `start` int, `end` int, text string, heading string, oversized boolean"
@@ -260,10 +261,10 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, id_col: str = "chunk_i
             own = [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([items.take(at), *own[:5], headings.take(at), own[5]], names=[id_col, "piece_no", "n_pieces", "start", "end", "text", "heading", "oversized"])
 
-    cut = sized.filter(large).select("item", "text", "heading", "measure", "max_size", "overlap_size").mapInArrow(run, schema)
+    cut = sized.filter(large).dropDuplicates(once).select("item", "text", "heading", "measure", "max_size", "overlap_size").mapInArrow(run, schema)
     if oversized_only:
         return cut
-    whole = sized.filter(~large).select(
+    whole = sized.filter(~large).dropDuplicates(once).select(
         F.col("item").alias(id_col), F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"),
         F.coalesce(F.length("text"), F.lit(0)).alias("end"), "text", "heading", F.lit(False).alias("oversized"),
     )
