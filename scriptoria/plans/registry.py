@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import service, tags, text, units
 from ..functions.regex import ND
 from ..operators import bm25, chunking, detect, evaluation, layout, markdown, profile, quantities, retrieval
-from ..session import shared_dir, table
+from ..session import shared_dir, state, table
 from ..sources import files
 from . import oracle
 
@@ -65,8 +66,18 @@ def _questions(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").filter("doc_id % 50 = 0 and title is not null").select(F.col("doc_id").alias("query"), F.col("title").alias("text"))
 
 
-def _index(spark: SparkSession, root: str) -> bm25.Index:
-    return bm25.build(table(spark, root, "documents"), "doc_id", store=True)
+def _index(spark: SparkSession, root: str, column: str = "text") -> bm25.Index:
+    """Index of the documents, built once and then read from the shared folder as long as it is there and the table is the same."""
+    documents = table(spark, root, "documents")
+    key = (spark.sparkContext.applicationId, column, state(spark, f"{root}/documents.parquet"))
+    path = _INDEXES.get(key)
+    if path is None or not state(spark, path):
+        path = _INDEXES[key] = f"{shared_dir(spark)}/documents-index-{uuid.uuid4().hex}"
+        bm25.build(documents, "doc_id", column, store=True, path=path)
+    return bm25.Index.load(spark, path)
+
+
+_INDEXES: dict[tuple, str] = {}
 
 
 # --- detection and layout -------------------------------------------------------------------------------------------
@@ -307,8 +318,6 @@ def bm25_stats(spark, root):
 
 @query
 def bm25_save_load(spark, root):
-    import uuid
-
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     _index(spark, root).save(path)
     return bm25.search(bm25.Index.load(spark, path), _questions(spark, root), 5).withColumn("score", F.round("score", 6))
@@ -446,7 +455,7 @@ def vec_topk(spark, root):
 @query
 def rrf_fuse(spark, root):
     by_text = bm25.search(_index(spark, root), _questions(spark, root), 50)
-    by_title = bm25.search(bm25.build(table(spark, root, "documents"), "doc_id", "title", store=True), _questions(spark, root), 50)
+    by_title = bm25.search(_index(spark, root, "title"), _questions(spark, root), 50)
     return retrieval.fuse_rankings(by_text, by_title, top=20).withColumn("score", F.round("score", 6))
 
 

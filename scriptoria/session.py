@@ -26,6 +26,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files below a path; empty where there is none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(place)
+    own = [] if found is None else list(found)
+    own += [x for f in own if f.isDirectory() for x in files.listStatus(f.getPath())]
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in own))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
