@@ -3,12 +3,17 @@
 Lines are parsed into templates with fixed-depth token trees: the path to a leaf
 is the number of tokens and the first tokens of the line, numbers are wildcard
 slots, and a leaf keeps the templates of the lines that reached it.  Each
-partition grows its own trees; merging the trees is adding, template by template,
-the documents they cover.  Templates that cover many documents of a source are
-the repeated lines.
+partition grows its own trees and gives them as rows of node, template and
+document, so that merging trees is adding up the documents of equal nodes.
 
-Generalising a template beyond its number slots would join different wordings,
-so letters never become wildcards.
+The merged trees are cut from the top: a node that covers too few documents of a
+source holds no template that covers enough, so only the templates below the
+remaining nodes are counted.  Those that cover many documents are the repeated
+lines.
+
+Tokens are blocks of letters, not words, because spacing and signs make no
+difference here.  Generalising a template beyond its number slots would join
+different wordings, so letters never become wildcards.
 """
 
 from __future__ import annotations
@@ -22,25 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import plain
-from ..session import distinct_by, materialize, require
+from ..session import distinct_by, materialize, require, spread
 
 SLOT = "\x00"
 _NUMBERS = re.compile(r"\d+")
 _SIGNS = re.compile(r"[^\w\x00]+|_+")
-_TOKEN = re.compile(r"\x00|[^\x00]+")
-_DEPTH = 3
+#: Letters of a token, and tokens of the path to a leaf.
+_BLOCK, _DEPTH = 4, 3
+_TOKEN = re.compile(rf"\x00|[^\x00]{{1,{_BLOCK}}}")
 #: Lines of a partition whose places are held before they are sent on; bounds memory, not results.
 HELD_LINES = 200_000
 
 
 def tokens_of(line: str) -> tuple[str, ...]:
-    """Tokens of a line: letters without spacing and signs, cut at numbers; each run of digits is a slot.
+    """Tokens of a line: blocks of letters without spacing and signs, cut at numbers; each run of digits is a slot.
 
     Empty for a line without a letter.
     """
     folded = _SIGNS.sub("", _NUMBERS.sub(SLOT, plain(line).casefold()))
-    tokens = tuple(_TOKEN.findall(folded))
-    return tokens if any(t != SLOT for t in tokens) else ()
+    return tuple(_TOKEN.findall(folded)) if folded.strip(SLOT) else ()
+
+
+def _name(parts: tuple[str, ...], size: int) -> bytes:
+    return blake2b("\x01".join(parts).encode("utf-8", "surrogatepass"), digest_size=size).digest()
 
 
 class TemplateTree:
@@ -50,16 +59,23 @@ class TemplateTree:
         self.depth = depth
         self.root: dict = {}
 
-    def template(self, tokens: tuple[str, ...]) -> bytes:
-        """Id of the template of a line; the same in every tree that meets the same wording."""
+    def place(self, tokens: tuple[str, ...]) -> tuple[int, bytes]:
+        """Ids of the leaf node and of the template of a line; the same in every tree of this depth that meets the same wording."""
         node = self.root
-        for key in (len(tokens), *tokens[: self.depth]):
+        path = (str(len(tokens)), *tokens[: self.depth])
+        for key in path:
             node = node.setdefault(key, {})
-        leaf = node.setdefault("", {})
+        if (own := node.get("")) is None:
+            own = node[""] = (int.from_bytes(_name(path, 8), "big", signed=True), {})
+        leaf, templates = own
         rest = tokens[self.depth :]
-        if (known := leaf.get(rest)) is None:
-            known = leaf[rest] = blake2b("\x01".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return known
+        if (known := templates.get(rest)) is None:
+            known = templates[rest] = _name(tokens, 16)
+        return leaf, known
+
+    def template(self, tokens: tuple[str, ...]) -> bytes:
+        """Id of the template of a line; the same in every tree that meets the same wording."""
+        return self.place(tokens)[1]
 
 
 def _grow(id_col: str, doc_col: str):
@@ -72,7 +88,7 @@ def _grow(id_col: str, doc_col: str):
             for item, doc, text in zip(ids, docs, texts):
                 for n, line in enumerate(text.split("\n")):
                     if tokens := tokens_of(line):
-                        held.setdefault((doc, tree.template(tokens)), []).append((item, n))
+                        held.setdefault((doc, *tree.place(tokens)), []).append((item, n))
                         count += 1
             if count > HELD_LINES:
                 yield _leaves(held, batch.schema, id_col, doc_col)
@@ -86,9 +102,10 @@ def _grow(id_col: str, doc_col: str):
 def _leaves(held: dict[tuple, list], schema: pa.Schema, id_col: str, doc_col: str) -> pa.RecordBatch:
     place = pa.struct([pa.field(id_col, schema.field(0).type), pa.field("line_no", pa.int64())])
     docs = pa.array([k[0] for k in held], schema.field(1).type)
-    templates = pa.array([k[1] for k in held], pa.binary())
+    nodes = pa.array([k[1] for k in held], pa.int64())
+    templates = pa.array([k[2] for k in held], pa.binary())
     places = pa.array([[{id_col: i, "line_no": n} for i, n in v] for v in held.values()], pa.list_(place))
-    return pa.RecordBatch.from_arrays([docs, templates, places], names=[doc_col, "template", "places"])
+    return pa.RecordBatch.from_arrays([docs, nodes, templates, places], names=[doc_col, "node", "template", "places"])
 
 
 def find_repeated_lines(chunks: DataFrame, sources: DataFrame, min_share: float = 0.05, min_documents: int = 5, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", source_col: str = "site") -> DataFrame:
@@ -105,22 +122,24 @@ def find_repeated_lines(chunks: DataFrame, sources: DataFrame, min_share: float
     site_of = distinct_by(require(sources, doc_col, source_col).filter(F.col(doc_col).isNotNull() & F.col(source_col).isNotNull()), doc_col, source_col)
     kinds = {c: chunks.schema[c].dataType.simpleString() for c in (id_col, doc_col)}
     leaves = materialize(
-        require(chunks, id_col, doc_col, text_col)
-        .filter(F.col(text_col).isNotNull() & F.col(doc_col).isNotNull())
-        .mapInArrow(_grow(id_col, doc_col), f"`{doc_col}` {kinds[doc_col]}, template binary, places array<struct<`{id_col}`: {kinds[id_col]}, line_no: bigint>>"),
+        spread(require(chunks, id_col, doc_col, text_col).filter(F.col(text_col).isNotNull() & F.col(doc_col).isNotNull()))
+        .mapInArrow(_grow(id_col, doc_col), f"`{doc_col}` {kinds[doc_col]}, node bigint, template binary, places array<struct<`{id_col}`: {kinds[id_col]}, line_no: bigint>>"),
         "template-leaves",
     )
     members = distinct_by(require(chunks, doc_col), doc_col).join(site_of, doc_col)
     totals = members.groupBy(source_col).agg(F.count("*").alias("n_docs"))
-    covered = distinct_by(leaves.select(doc_col, "template"), doc_col, "template").join(site_of, doc_col)
-    frequent = (
-        covered.groupBy(source_col, "template").agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_documents)
-        .join(totals, source_col)
-        .filter(F.col("n") >= F.col("n_docs") * F.lit(min_share) - F.lit(1e-9))
-        .select(source_col, "template")
-    )
-    placed = leaves.join(site_of, doc_col).join(frequent, [source_col, "template"], "left_semi")
+
+    def frequent(rows: DataFrame, key: str) -> DataFrame:
+        """Keys that cover enough documents of a source: (``source_col``, ``key``)."""
+        covered = distinct_by(rows.select(doc_col, key), doc_col, key).join(site_of, doc_col)
+        counted = covered.groupBy(source_col, key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).join(totals, source_col)
+        return counted.filter(F.col("n") >= F.col("n_docs") * F.lit(min_share) - F.lit(1e-9)).select(source_col, key)
+
+    # Each source keeps few nodes and templates, a multiple of the lines of one document; written, their size is known to the optimizer.
+    nodes = materialize(distinct_by(frequent(leaves, "node"), "node"), "frequent-nodes")
+    below = leaves.join(nodes, "node", "left_semi")
+    templates = materialize(frequent(below, "template"), "frequent-templates")
+    placed = below.join(templates, "template").join(site_of, [doc_col, source_col])
     return placed.select(F.explode("places").alias("p")).select(f"p.`{id_col}`", "p.line_no").distinct()
 
 

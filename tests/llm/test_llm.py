@@ -60,6 +60,9 @@ def test_template_tree_merges(monkeypatch):
     for line in ("Page 3 of 9", "rev 2", "x", "a1b2c3d4"):
         t = repeated_lines.tokens_of(line)
         assert a.template(t) == a.template(t) == b.template(t)
+    assert a.place(repeated_lines.tokens_of("Copy no. 3 of the plant")) == a.place(repeated_lines.tokens_of("C O P Y, no 14 (of the plant)"))
+    assert a.place(repeated_lines.tokens_of("Copy no 3 of the plant"))[0] == a.place(repeated_lines.tokens_of("Copy no 3 of the plans"))[0] != a.place(repeated_lines.tokens_of("Copy of the plant no 3"))[0]
+    assert repeated_lines.tokens_of("Confidential, page 3") == ("conf", "iden", "tial", "page", repeated_lines.SLOT)
     assert repeated_lines.tokens_of("12 / 3") == () and repeated_lines.tokens_of("") == ()
     assert a.template(repeated_lines.tokens_of("Page 3 of 9")) == a.template(repeated_lines.tokens_of("PAGE 12 OF 144!"))
     assert a.template(repeated_lines.tokens_of("page 3")) != a.template(repeated_lines.tokens_of("page"))
