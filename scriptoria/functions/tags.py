@@ -37,6 +37,11 @@ VARIABLES = {"F": "Flow", "P": "Pressure", "T": "Temperature", "L": "Level", "A"
 FUNCTIONS = {"I": "Indicator", "C": "Controller", "T": "Transmitter", "S": "Switch", "V": "Valve", "E": "Element", "A": "Alarm", "H": "High", "L": "Low", "R": "Recorder", "Q": "Totalizer"}
 
 
+def pattern_by_name(name: str, patterns: list[tuple[str, str]] = PATTERNS) -> tuple[str, str] | None:
+    """The first pattern of a type; None where there is none."""
+    return next((p for p in patterns if p[0] == name), None)
+
+
 def normalize_tag(tag: Column, uppercase: bool = True, standardize: bool = True, remove_spaces: bool = True, separator: str = "-") -> Column:
     """Normal form of a tag; null and empty stay."""
     out = strip(tag)

@@ -46,7 +46,8 @@ def remove_control(text: Column) -> Column:
 
 def fix_unicode(text: Column) -> Column:
     """Composed accents, mis-decoded sequences repaired in order, zero-width signs deleted."""
-    text = _nfc(text)
+    # Only texts with other than ASCII signs go to Python; for the rest it sees a null.
+    text = F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
     for bad, good in MOJIBAKE:
         text = F.replace(text, F.lit(bad), F.lit(good))
     return F.regexp_replace(text, "[​‌‍﻿]", "")

@@ -96,8 +96,8 @@ def quantity_patterns() -> list[str]:
     return out
 
 
-def extract_units(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Every value with a unit: ``id_col``, ``pattern_no``, ``seq``, ``text``, ``start``, ``end``, ``normalized``.
+def extract_units(rows: DataFrame, id_col: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every value with a unit: ``keep``, ``id_col``, ``pattern_no``, ``seq``, ``text``, ``start``, ``end``, ``normalized``.
 
     Overlapping matches of different patterns are all kept; the order is by
     pattern, then by place.  Null and empty texts give no rows.
@@ -107,8 +107,11 @@ def extract_units(rows: DataFrame, id_col: str, text_col: str = "text") -> DataF
         return lambda m: F.struct(F.lit(n).alias("pattern_no"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("text"))
 
     per = [F.transform(spans(F.col("_text"), p), hit(n)) for n, p in enumerate(quantity_patterns())]
-    hits = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(ND)).select("_id", F.posexplode(F.concat(*per)).alias("seq", "hit"))
-    return hits.select(F.col("_id").alias(id_col), "hit.pattern_no", "seq", "hit.text", "hit.start", "hit.end", normalize_units(F.col("hit.text")).alias("normalized"))
+    own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
+    texts = rows.select(*own, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(ND))
+    hits = texts.select(*[f"_keep{i}" for i in range(len(keep))], "_id", F.posexplode(F.concat(*per)).alias("seq", "hit"))
+    return hits.select(*kept, F.col("_id").alias(id_col), "hit.pattern_no", "seq", "hit.text", "hit.start", "hit.end", normalize_units(F.col("hit.text")).alias("normalized"))
 
 
 def unit_statistics(units: DataFrame, *groups: str) -> DataFrame:

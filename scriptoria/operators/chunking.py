@@ -18,13 +18,17 @@ def pack(text: Column, max_size: int = 1000, overlap: int = 50, size: Size = F.l
     A chunk is closed when the next paragraph would pass ``max_size``; with an
     overlap the next chunk starts with the last paragraph of the one before, which
     counts in characters.  A paragraph larger than the limit stays whole, and the
-    joins between paragraphs don't count.
+    joins between paragraphs don't count.  Sizes are taken once for each paragraph,
+    by ``size.many`` over all of them where the function has it.
     """
     none = F.array().cast("array<string>")
     zero = F.struct(none.alias("buf"), F.lit(0).alias("cur"), none.alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = size(p)
+    paragraphs = F.split(text, "\n\n", -1)
+    sizes = size.many(paragraphs) if hasattr(size, "many") else F.transform(paragraphs, size)
+
+    def step(s: Column, item: Column) -> Column:
+        p, n = item["p"], item["n"]
         full = (s["cur"] + n > max_size) & (F.size(s["buf"]) > 0)
         out = F.concat(s["out"], F.array(F.array_join(s["buf"], "\n\n")))
         last = F.try_element_at(s["buf"], F.lit(-1))
@@ -37,7 +41,7 @@ def pack(text: Column, max_size: int = 1000, overlap: int = 50, size: Size = F.l
     def finish(s: Column) -> Column:
         return F.when(F.size(s["buf"]) > 0, F.concat(s["out"], F.array(F.array_join(s["buf"], "\n\n")))).otherwise(s["out"])
 
-    return F.aggregate(F.split(text, "\n\n", -1), zero, step, finish)
+    return F.aggregate(F.arrays_zip(paragraphs.alias("p"), sizes.alias("n")), zero, step, finish)
 
 
 def sections(documents: DataFrame) -> DataFrame:
@@ -70,6 +74,27 @@ def sections(documents: DataFrame) -> DataFrame:
     return per.select("doc_id", number.alias("section"), "heading", "level", "content", "page_start", "page_end")
 
 
+def section_paths(sections: DataFrame, between: str = " > ") -> DataFrame:
+    """Sections (``doc_id``, ``section``, ``heading``, ``level``) with ``section_path``: their headings from the top down.
+
+    The path of a section holds the last heading of each smaller level that no
+    heading of a still smaller level has closed; sections without heading have an
+    empty path.  Levels beyond six nest in the sixth.
+    """
+    before = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.least(F.col("level"), F.lit(7))
+    last = {n: F.max(F.when(F.col("level") == n, F.struct("section", "heading"))).over(before) for n in range(1, 7)}
+    marked = sections.select("*", *[last[n].alias(f"_h{n}") for n in last])
+    parts = []
+    for n in range(1, 7):
+        open_ = (own > n) & F.col(f"_h{n}").isNotNull()
+        for k in range(1, n):
+            open_ &= F.coalesce(F.col(f"_h{k}.section") < F.col(f"_h{n}.section"), F.lit(True))
+        parts.append(F.when(open_, F.col(f"_h{n}.heading")))
+    path = F.when(F.col("level") > 0, F.concat_ws(between, *parts, "heading")).otherwise("")
+    return marked.select(*sections.columns, path.alias("section_path"))
+
+
 def chunk_id(doc_id: Column, index: Column) -> Column:
     """Id of a chunk; indexes of more than four digits stay whole."""
     return F.format_string("%s_chunk_%04d", doc_id, index)

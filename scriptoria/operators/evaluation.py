@@ -32,13 +32,19 @@ def citation_measures(cited: DataFrame, expected: DataFrame) -> DataFrame:
     return per.select("*", F.round(F.try_divide("n_right", "n_cited"), 6).alias("precision"), F.round(F.try_divide("n_right", "n_expected"), 6).alias("recall"))
 
 
-def latency_report(calls: DataFrame, *dimensions: str) -> DataFrame:
+def latency_report(calls: DataFrame, *dimensions: str, accuracy: int | None = None) -> DataFrame:
     """Calls, median and 95th percentile latency and error rate for every combination of the dimensions, totals included.
 
-    ``calls`` has ``latency`` and ``failed``.  A total has null in the dimensions it is over.
+    ``calls`` has ``latency`` and ``failed``, and may have ``cached``: then
+    ``cache_hit_rate`` is added.  A total has null in the dimensions it is over.
+    Percentiles are exact and hold a count for each distinct latency of a group;
+    with ``accuracy`` they are approximate, to a rank error of 1 / ``accuracy``, from
+    a sketch of bounded size.
     """
+    at = (lambda p: F.percentile("latency", p)) if accuracy is None else (lambda p: F.percentile_approx("latency", p, accuracy))
+    cached = [F.round(F.try_divide(F.count_if("cached"), F.count("*")), 6).alias("cache_hit_rate")] if "cached" in calls.columns else []
     return calls.cube(*dimensions).agg(
-        F.count("*").alias("calls"), F.round(F.percentile("latency", 0.5), 6).alias("p50"), F.round(F.percentile("latency", 0.95), 6).alias("p95"), F.round(F.try_divide(F.count_if("failed"), F.count("*")), 6).alias("error_rate"),
+        F.count("*").alias("calls"), F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"), F.round(F.try_divide(F.count_if("failed"), F.count("*")), 6).alias("error_rate"), *cached,
     )
 
 
@@ -46,7 +52,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], per_stratum: int, id_c
     """Up to ``per_stratum`` rows of each stratum, chosen by a hash of the id, alike on every run."""
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col))
+    order = F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), id_col))
     return rows.withColumn("_n", order).filter(F.col("_n") <= per_stratum).drop("_n")
 
 

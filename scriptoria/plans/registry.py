@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import service, tags, text, units
+from ..functions import service, tags, text, tokens, units
 from ..functions.regex import ND
 from ..operators import bm25, chunking, detect, evaluation, layout, markdown, profile, quantities, retrieval
 from ..session import shared_dir, state, table
 from ..sources import files
 from . import oracle
 
+#: Ranks of the public vocabulary by which tokens are counted.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = oracle.SQL
 
@@ -165,7 +168,7 @@ def unit_extract(spark, root):
 
 @query
 def unit_stats(spark, root):
-    found = units.extract_units(_blocks(spark, root), "block_id").join(_blocks(spark, root).select("block_id", "doc_id"), "block_id")
+    found = units.extract_units(_blocks(spark, root), "block_id", keep=("doc_id",))
     return units.unit_statistics(found, "doc_id").drop("variants", "first_seq")
 
 
@@ -183,6 +186,11 @@ def tag_extract_isa(spark, root):
     return _tags(spark, root, patterns=tags.ISA_PATTERNS)
 
 
+@query
+def tag_extract_named(spark, root):
+    return _tags(spark, root, patterns=[tags.pattern_by_name("pump")])
+
+
 @query
 def tag_custom(spark, root):
     return _tags(spark, root, patterns=[("reference", rf"ref\. {ND}{{7}}/{ND}+")])
@@ -230,6 +238,14 @@ def md_document(spark, root):
     return markdown.document_markdown(markdown.page_markdown(_placed(spark, root)), info)
 
 
+@query
+def md_with_structure(spark, root):
+    info = table(spark, root, "source_files").filter("revision = 1").select("doc_id", "file_path", "total_pages", F.lit(None).cast("bigint").alias("total_blocks"), F.lit(None).cast("bigint").alias("total_characters"))
+    s = markdown.structured_markdown(_placed(spark, root), info)
+    shown = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in f])), ",")
+    return s.select("doc_id", F.length("markdown").alias("n_markdown"), shown("headings", "page", "level", "text").alias("headings"), shown("pages", "page_num", "char_count", "block_count").alias("pages"), "statistics.total_blocks", "statistics.total_characters", "statistics.avg_blocks_per_page", "source_file")
+
+
 @query
 def md_structure(spark, root):
     return markdown.headings(_placed(spark, root))
@@ -261,6 +277,25 @@ def chunk_stats(spark, root):
     return chunking.chunk_statistics(chunking.chunk_markdown(_markdown(spark, root)), "doc_id").withColumn("avg_size", F.round("avg_size", 6)).withColumn("levels", F.array_join(F.transform("levels", lambda x: x.cast("string")), ","))
 
 
+@query
+def section_path(spark, root):
+    return chunking.section_paths(chunking.sections(_markdown(spark, root))).select("doc_id", "section", "section_path")
+
+
+@query
+def chunk_pack_tokens(spark, root):
+    """Packing by tokens, here the pieces between white space."""
+    docs = table(spark, root, "documents").filter("text is not null")
+    return docs.select("doc_id", F.posexplode(chunking.pack(F.col("text"), 120, 50, tokens.words)).alias("sub", "text"))
+
+
+@query
+def chunk_token_counts(spark, root):
+    """Tokens of every chunk by a public vocabulary, where the table has none or a stale number."""
+    counter = tokens.TokenCounter(spark, VOCABULARY)
+    return table(spark, root, "chunks").select("chunk_id", "loaded_at", counter(F.col("text")).alias("token_count"))
+
+
 @query
 def chunk_doc_id(spark, root):
     return table(spark, root, "source_files").select("file_path", chunking.document_id(F.col("file_path")).alias("hash_id"), chunking.stem_id(F.col("file_path")).alias("stem_id")).distinct()
@@ -268,18 +303,18 @@ def chunk_doc_id(spark, root):
 
 @query
 def expand_window(spark, root):
-    """Neighbours of the chunks that were loaded a second time."""
+    """Neighbours of every chunk."""
     chunks = table(spark, root, "chunks")
-    hits = chunks.groupBy("doc_id", "chunk_index", "chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "chunk_index")
+    hits = chunks.select("doc_id", "chunk_index").distinct()
     one = chunks.select("doc_id", "chunk_index", "chunk_id", "text").distinct()
     return chunking.expand_window(hits, one).select("doc_id", "hit_index", "chunk_index", "chunk_id")
 
 
 @query
 def small_to_big(spark, root):
-    """Parents of the chunks that were loaded a second time."""
-    chunks = table(spark, root, "chunks").select("doc_id", "chunk_index", "chunk_id", "text").groupBy("doc_id", "chunk_index", "chunk_id").agg(F.max("text").alias("text"), F.count("*").alias("n"))
-    return chunking.expand_parents(chunks.filter("n > 1"), chunking.parent_chunks(chunks.drop("n")))
+    """Parents of every chunk."""
+    chunks = table(spark, root, "chunks").groupBy("doc_id", "chunk_index", "chunk_id").agg(F.max("text").alias("text"))
+    return chunking.expand_parents(chunks, chunking.parent_chunks(chunks))
 
 
 # --- keyword search -------------------------------------------------------------------------------------------------
@@ -385,8 +420,8 @@ def qa_suspicious(spark, root):
 
 @query
 def qa_unit_profile(spark, root):
-    found = units.extract_units(_blocks(spark, root), "block_id").join(_blocks(spark, root).select("block_id", "doc_id"), "block_id")
-    return units.unit_statistics(found, "doc_id").filter("n_variants > 1").select("doc_id", "normalized", "n", "n_variants")
+    pages = layout.assemble_pages(_blocks(spark, root), threshold=0, fix_hyphens=False)
+    return profile.unit_profile(pages).withColumn("needs_normalization", F.to_json("needs_normalization"))
 
 
 @query
@@ -498,6 +533,12 @@ def latency_percentiles(spark, root):
     return evaluation.latency_report(events, "event_type", "day")
 
 
+@query
+def cache_hit_rate(spark, root):
+    events = table(spark, root, "events").select("event_type", F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"), (F.col("user_id") % 3 == 0).alias("cached"))
+    return evaluation.latency_report(events, "event_type")
+
+
 @query
 def alert_windows(spark, root):
     events = table(spark, root, "events").select("ts", F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"))

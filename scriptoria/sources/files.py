@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +55,35 @@ def read_extractions(spark: SparkSession, path: str, skip: str = "pilot_test", m
     return rows.withColumn("_file", F.input_file_name()).filter(~F.contains(F.element_at(F.split("_file", "/"), -1), F.lit(skip))).drop("_file")
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """Write ``markdown`` as text files, one folder for each ``doc_id``, and the rest of the row as JSON beside them where there is any."""
-    documents.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(f"{path}/markdown")
+def write_markdown(documents: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write the ``markdown`` of each ``doc_id`` as a file of its own, and the rest of the row as JSON beside them where there is any.
+
+    The files are dealt out over ``buckets`` folders by a hash of their id; ``path``
+    must be one that all executors reach.  A file written twice, by a repeated task
+    or a repeated row, has the same name.  ``path/files`` lists what was written;
+    documents without Markdown have no file.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            names = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = str(item)
+                digest = hashlib.md5(own.encode(), usedforsecurity=False).hexdigest()
+                plain = re.sub(r"[^\w.-]", "_", own)[:100]
+                folder = f"markdown/bucket={int(digest[:8], 16) % buckets:04}"
+                system.create_dir(f"{root}/{folder}")
+                names.append(f"{folder}/{plain if plain == own else f'{plain}-{digest[:8]}'}.md")
+                with system.open_output_stream(f"{root}/{names[-1]}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], names=["doc_id", "file"])
+
+    written = documents.select("doc_id", "markdown").filter("markdown is not null").mapInArrow(run, f"doc_id {kind}, file string")
+    written.write.mode("overwrite").parquet(f"{path}/files")
     rest = [c for c in documents.columns if c not in ("doc_id", "markdown")]
     if rest:
         documents.select("doc_id", *rest).write.mode("overwrite").json(f"{path}/structure")

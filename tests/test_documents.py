@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptoria.functions import tokens
 from scriptoria.operators import bm25, chunking, detect, evaluation, layout, markdown, profile, retrieval
 from scriptoria.sources import files
 from scriptoria.streaming import ingest
@@ -293,11 +294,44 @@ def test_files(spark, tmp_path):
     docs = spark.createDataFrame([("d", "# x\ny", 3)], "doc_id string, markdown string, pages int")
     files.write_markdown(docs, str(tmp_path / "md"))
     assert [r.value for r in spark.read.text(str(tmp_path / "md/markdown")).collect()] == ["# x", "y"]
+    files.write_markdown(spark.createDataFrame([("a/b", "é"), ("a b", "2"), ("n", None)], "doc_id string, markdown string"), str(tmp_path / "md2"), buckets=1)
+    listed = {r.doc_id: r.file for r in spark.read.parquet(str(tmp_path / "md2/files")).collect()}
+    assert len(set(listed.values())) == 2 and (tmp_path / "md2" / listed["a/b"]).read_text() == "é" and "n" not in listed
     files.write_extractions(spark.createDataFrame([("f.pdf", 1)], "file_path string, total_pages int"), str(tmp_path / "ex"))
     back = files.read_extractions(spark, str(tmp_path / "ex")).first()
     assert (back.file_path, back.total_pages, back.pages) == ("f.pdf", 1, None)
 
 
+def test_token_counts(spark, tmp_path):
+    """Counts and packing by a vocabulary of bytes and a few pairs, against the same merges by hand."""
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)] + [b"th", b"the", b" a", b"ab"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(r) + b" %d\n" % i for i, r in enumerate(ranks)))
+    count = tokens.TokenCounter(spark, str(path))
+    df = spark.createDataFrame([(1, "the ab"), (2, ""), (3, None), (4, "thé")], "i int, text string")
+    assert [r.n for r in df.select("i", count(F.col("text")).alias("n")).orderBy("i").collect()] == [3, 0, None, 3]
+    text = "the the\n\nab ab ab\n\nthe"
+    packed = lambda most: spark.range(1).select(chunking.pack(F.lit(text), most, 0, count).alias("p")).first().p
+    assert packed(7) == ["the the", "ab ab ab", "the"] and packed(100) == [text]
+    assert [r.token_count for r in chunking.chunk_markdown(spark.createDataFrame([("d", "# H\nthe ab")], "doc_id string, markdown string"), tokens=count).collect()] == [3]
+
+
+def test_section_paths(spark):
+    heads = [(0, None, 0), (1, "A", 1), (2, "A1", 2), (3, "A1x", 4), (4, "A2", 2), (5, "B", 1), (6, "Bx", 3), (7, "By", 2), (8, "deep", 9)]
+    df = spark.createDataFrame([("d", *h) for h in heads], "doc_id string, section int, heading string, level int")
+    got = [r.section_path for r in chunking.section_paths(df).orderBy("section").collect()]
+    assert got == ["", "A", "A > A1", "A > A1 > A1x", "A > A2", "B", "B > Bx", "B > By", "B > By > deep"]
+
+
+def test_unit_profile(spark):
+    pages = spark.createDataFrame([("d", 0, "5 barg and 5 bar(g)"), ("d", 1, "7 kPa"), ("e", 0, "none")], "doc_id string, page_num int, full_text string")
+    r = profile.unit_profile(pages).collect()
+    assert [(x.doc_id, x.n_spelled_differently > 0 or x.total_units > 0) for x in r] == [("d", True)]
+    assert profile.unit_profile(pages, chars=3).count() == 0
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("b1", "10 barg", "2024-01-01 00:00:00"), ("b1", "10 barg", "2024-01-01 00:01:00"), ("b2", "x ,y", "2024-01-01 00:02:00")], "id string, text string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(src)
