@@ -19,7 +19,7 @@ EXTRACTION = (
 
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files of a folder with their content: ``path``, ``modificationTime``, ``length``, ``content``; other names are not read."""
+    """Files of a folder with their content: ``path``, ``modificationTime``, ``length``, ``content``; other names are not read, files of no bytes have no row."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
