@@ -60,12 +60,20 @@ def fix_superscripts(text: Column) -> Column:
 def map_units(text: Column, ignore_case: bool = True) -> Column:
     """Every notation of the map between word boundaries to its normal form, the longest first.
 
-    The chain of some fifty replacements runs only where a unit can be at all.
+    Of the some fifty replacements only those run whose notation the text holds at
+    all: normal forms are notations of themselves, so no replacement makes a match
+    for a later one.  The text is folded once to look for them.
     """
     flag = "(?iu)" if ignore_case else ""
-    mapped = replace_all(text, [(f"{flag}{boundary_before(k)}{re.escape(k)}{boundary_after(k)}", to) for k, to in unit_keys()])
-    possible = flag + "|".join(f"{boundary_before(k)}{re.escape(k)}{boundary_after(k)}" for k in sorted({k.lower() if ignore_case else k for k in UNIT_MAP}))
-    return F.when(text.rlike(possible), mapped).otherwise(text)
+    # The signs that equal an ASCII letter without regard to case, though their small letter is another.
+    fold = (lambda t: F.lower(F.translate(t, "ſıİK", "siik"))) if ignore_case else (lambda t: t)
+    rules = F.array(*[
+        F.struct(F.lit(k.lower() if ignore_case else k).alias("key"), F.lit(f"{flag}{boundary_before(k)}{re.escape(k)}{boundary_after(k)}").alias("pattern"), F.lit(to).alias("to"))
+        for k, to in unit_keys()
+    ])
+    within = lambda f: F.filter(rules, lambda r: F.contains(f, r["key"]))
+    replaced = lambda t: F.aggregate(F.get(F.transform(F.array(fold(t)), within), F.lit(0)), t, lambda out, r: F.regexp_replace(out, r["pattern"], r["to"]))
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
 
 def fix_spacing(text: Column) -> Column:

@@ -95,3 +95,22 @@ def test_groups_and_statistics(spark):
     assert {r.type: r.tags for r in tags.group_tags(hits, "id").collect()} == {"pump": ["P-101", "P-102"], "valve": ["PV-300"], "vessel": ["V-300"]}
     s = tags.tag_statistics(hits, "id").first()
     assert (s.total_tags, s.unique_tags, s.most_common_type, s.most_common_count) == (4, 4, "pump", 2)
+
+
+def test_unit_map_against_every_replacement(spark):
+    """Leaving out the replacements whose notation a text doesn't hold changes nothing."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from scriptoria.functions.regex import replace_all
+
+    rng = random.Random(5)
+    parts = [*units.UNIT_MAP, " ", " ", "5", "m", "M", "x", "ſ", "ı", "İ", "K", "ß", "³", "/h", "%", "(", ".", "é"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.7 else rng.choice(parts).swapcase() for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string").repartition(4)
+    for ignore in (True, False):
+        flag = "(?iu)" if ignore else ""
+        every = replace_all(F.col("t"), [(f"{flag}{units.boundary_before(k)}{re.escape(k)}{units.boundary_after(k)}", to) for k, to in units.unit_keys()])
+        assert df.filter(~units.map_units(F.col("t"), ignore).eqNullSafe(every)).collect() == []
