@@ -76,6 +76,31 @@ SQL["dehyphenate"] = f"""
       union all
       select j.doc_id, j.page_num, j.i, 1, nb, substr(nt, c + 1) from s join j using (doc_id, page_num, i) where shown and took and c > 0 and substr(nt, c + 1) <> '')
     select doc_id, page_num, cast(row_number() over (partition by doc_id, page_num order by i, sub) - 1 as integer) as position, block_num, text from e"""
+SQL["page_assemble_merged"] = f"""
+    with recursive o as (
+      select *, lead(text) over w as nt, lead(y0) over w as ny, lead(x0) over w as nx, lead(y1) over w as ny1, lead(x1) over w as nx1, lead(block_num) over w as nb
+      from (select doc_id, page_num, position as i, x0, y0, x1, y1, block_num, case when block_num % 2 = 1 then text || '-' else text end as text from {PLACED}) window w as (partition by doc_id, page_num order by i)),
+    j as (select *, coalesce(text like '%-' and nt is not null and abs(y0 - ny) > 10, false) as joins, instr(nt, ' ') as c from o),
+    s as (
+      select doc_id, page_num, i, joins as took, true as shown from j where i = 0
+      union all
+      select j.doc_id, j.page_num, j.i, case when s.took then false else j.joins end, not s.took from s join j on j.doc_id = s.doc_id and j.page_num = s.page_num and j.i = s.i + 1),
+    e as (
+      select j.doc_id, j.page_num, j.i, 0 as sub, x0, y0, x1, y1, block_num, case when joins then left(text, length(text) - 1) || (case when c > 0 then left(nt, c - 1) else nt end) else text end as text
+      from s join j using (doc_id, page_num, i) where shown
+      union all
+      select j.doc_id, j.page_num, j.i, 1, nx, ny, nx1, ny1, nb, substr(nt, c + 1) from s join j using (doc_id, page_num, i) where shown and took and c > 0 and substr(nt, c + 1) <> ''),
+    d as (select * replace (row_number() over (partition by doc_id, page_num order by i, sub) - 1 as i) from e),
+    m as (
+      select doc_id, page_num, i, 0 as g, x0, y0, x1, y1, text, block_num from d where i = 0
+      union all
+      select d.doc_id, d.page_num, d.i, case when near then m.g else m.g + 1 end,
+        case when near then least(m.x0, d.x0) else d.x0 end, case when near then least(m.y0, d.y0) else d.y0 end,
+        case when near then greatest(m.x1, d.x1) else d.x1 end, case when near then greatest(m.y1, d.y1) else d.y1 end,
+        case when near then m.text || ' ' || d.text else d.text end, case when near then m.block_num else d.block_num end
+      from m join d on d.doc_id = m.doc_id and d.page_num = m.page_num and d.i = m.i + 1, lateral (select abs(m.y0 - d.y0) < 10 and d.x0 - m.x1 < 20 as near) n),
+    f as (select * from (select *, row_number() over (partition by doc_id, page_num, g order by i desc) as rn from m) where rn = 1)
+    select doc_id, page_num, cast(count(*) as integer) as block_count, cast(length(string_agg(text, ' ')) as integer) as char_count, string_agg(text, ' ' order by y0, x0, block_num, x1, y1, text) as full_text from f group by doc_id, page_num"""
 SQL["page_assemble"] = f"""
     select r.doc_id, r.page_num, cast(coalesce(p.n, 0) as integer) as block_count, cast(coalesce(length(p.full_text), 0) as integer) as char_count, coalesce(p.full_text, '') as full_text
     from (select distinct doc_id, page_num from page_records) r left join {PAGES} p on p.doc_id = r.doc_id and p.page_num = r.page_num"""
@@ -158,19 +183,48 @@ SQL["qa_normalized_blocks"] = f"""
     with a as (select doc_id, text, {_normal('text')} as t from {ONCE}), b as (select doc_id, text, {_unit_normal('t')} as u from a)
     select doc_id, count(*) as blocks, count(*) filter (u is distinct from text) as changed from b group by doc_id"""
 
+# What follows a number to make a quantity. Word boundaries know ASCII only here, so they are looked for in a shadow of the text with one sign for
+# each of its signs: superscripts become y and v (whose letters become z, as all others beyond ASCII), digits of other scripts 0.
+_ENDS = ["[°℃℉]C?", rf"bar{WS}*\(?[ag]\)?", "[km]?Pa", "psi[ag]?", "m[yv]?/[hs]", "[kt]/h", "[km]?W", "hp", "[mkc]?m[yv]?", "[kt]g?", "%"]
+_shadow = lambda t: f"regexp_replace(regexp_replace(replace(replace(regexp_replace({t}, '[yYvV]', 'z', 'g'), '²', 'y'), '³', 'v'), '[^\\x00-\\x7F\\P{{Nd}}]', '0', 'g'), '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]', 'z', 'g')"
+
+
+def _unit_hits(src: str) -> str:
+    """CTEs for the quantities of ``src`` (id, doc_id, text): result ``q``; to follow ``with``."""
+    parts = []
+    for n, end in enumerate(_ENDS):
+        p = _q(rf"(?i)\b[0-9]+\.?[0-9]*{WS}*{end}\b")
+        parts.append(f"""
+        select id, doc_id, {n} as pattern_no, m[i] as shown, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as integer) as start
+        from (select *, unnest(range(1, len(m) + 1)) as i from (select id, doc_id, regexp_extract_all(shadow, {p}) as m, regexp_split_to_array(shadow, {p}) as g from sh) where len(m) > 0)""")
+    return f"""
+    tx as ({src}), sh as (select *, {_shadow('text')} as shadow from tx), hits as ({' union all '.join(parts)}),
+    cutout as (select h.id, h.doc_id, pattern_no, cast(row_number() over (partition by h.id order by pattern_no, start) - 1 as integer) as seq, substr(tx.text, start + 1, length(shown)) as text, start, cast(start + length(shown) as integer) as "end" from hits h join tx on tx.id = h.id),
+    q as (select *, {_unit_normal('text')} as normalized from cutout),
+    st as (select doc_id, normalized, count(*) as n, min(seq) as first_seq, count(distinct text) as n_variants, list_sort(list(distinct text)) as variants from q group by all),
+    rk as (select *, cast(row_number() over (partition by doc_id order by n desc, first_seq, normalized) as integer) as rank from st)"""
+
+
+_OF_BLOCKS = f"select block_id as id, doc_id, text from {BLOCKS}"
+SQL["unit_extract"] = f'with {_unit_hits(_OF_BLOCKS)} select id as block_id, pattern_no, seq, text, start, "end", normalized from q'
+SQL["unit_stats"] = f"with {_unit_hits(_OF_BLOCKS)} select doc_id, normalized, n, n_variants, rank from rk"
+SQL["qa_unit_profile"] = f"""
+    with {_unit_hits(f"select doc_id as id, doc_id, left(string_agg(full_text, ' ' order by page_num), 100000) as text from {PAGES} group by doc_id")}
+    select doc_id, cast(sum(n) as bigint) as total_units, count(*) as unique_units, max(normalized) filter (rank = 1) as most_common, max(n) as most_common_count, count(*) filter (n_variants > 1) as n_spelled_differently,
+      coalesce(string_agg(normalized || '=' || array_to_string(variants, '/'), ',' order by normalized) filter (n_variants > 1), '') as needs_normalization from rk group by doc_id"""
 # --- tags
 _tag = lambda t: f"case when {t} = '' then {t} else regexp_replace(regexp_replace(upper(replace({_strip(t)}, 'ß', 'SS')), {_q(rf'(?:{WS}|[-_/\\])+')}, '-', 'g'), '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g') end"
 SQL["tag_normalize"] = _stage(_tag("text"))
 
 
-def _tag_hits(patterns: list[tuple[str, str]]) -> str:
+def _tag_hits(patterns: list[tuple[str, str]], src: str = f"select block_id, text from {BLOCKS}") -> str:
     parts = []
     for n, (name, p) in enumerate(patterns):
         parts.append(f"""
         select block_id, {n} as prio, {_q(name)} as type, m[i] as original,
           cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as integer) as start
         from (select block_id, m, g, unnest(range(1, len(m) + 1)) as i from (select block_id, regexp_extract_all(text, {_q(p)}) as m, regexp_split_to_array(text, {_q(p)}) as g from b) where len(m) > 0)""")
-    return f"""b as (select block_id, text from {BLOCKS}), h as ({' union all '.join(parts)}),
+    return f"""b as ({src}), h as ({' union all '.join(parts)}),
       n as (select *, {_tag('original')} as normalized from h),
       f as (select *, row_number() over (partition by block_id, normalized order by prio, start) as rn from n),
       t as (select block_id, cast(row_number() over (partition by block_id order by start, prio) - 1 as integer) as seq, original, normalized, type, start, cast(start + length(original) as integer) as "end" from f where rn = 1)"""
@@ -180,6 +234,13 @@ SQL["tag_extract"] = f"with {_tag_hits(tags.PATTERNS)} select * from t"
 SQL["tag_extract_isa"] = f"with {_tag_hits(tags.ISA_PATTERNS)} select * from t"
 SQL["tag_extract_named"] = f"with {_tag_hits([('pump', dict(tags.PATTERNS)['pump'])])} select * from t"
 SQL["tag_custom"] = f"with {_tag_hits([('reference', rf'ref\. {ND}{{7}}/{ND}+')])} select * from t"
+SQL["tag_replace"] = f"""
+    with recursive {_tag_hits(tags.PATTERNS, f"select origin || chr(1) || row_id || chr(1) || md5(text) as block_id, origin, row_id, text from {TEXTS}")},
+    r as (
+      select b.block_id, b.text, coalesce(n, 0) as k from b left join (select block_id, count(*) as n from t group by block_id) c using (block_id)
+      union all
+      select r.block_id, left(r.text, t.start) || t.normalized || substr(r.text, t."end" + 1), r.k - 1 from r join t on t.block_id = r.block_id and t.seq = r.k - 1)
+    select origin, row_id, r.text as result from r join b using (block_id) where k = 0"""
 _kind = "case " + " ".join(f"when regexp_full_match({_tag('original')}, {_q(p)}) then {_q(n)}" for n, p in tags.PATTERNS) + " end"
 SQL["tag_validate"] = f"with {_tag_hits(tags.PATTERNS)}, o as (select distinct original from t) select original, {_kind} is not null as valid, {_tag('original')} as normalized, {_kind} as type from o"
 SQL["tag_group"] = f"with {_tag_hits(tags.PATTERNS)} select block_id, type, string_agg(normalized, ',' order by seq) as tags from t group by block_id, type"

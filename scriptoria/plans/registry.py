@@ -421,7 +421,8 @@ def qa_suspicious(spark, root):
 @query
 def qa_unit_profile(spark, root):
     pages = layout.assemble_pages(_blocks(spark, root), threshold=0, fix_hyphens=False)
-    return profile.unit_profile(pages).withColumn("needs_normalization", F.to_json("needs_normalization"))
+    several = F.transform("needs_normalization", lambda x: F.concat_ws("=", x["normalized"], F.array_join(x["variants"], "/")))
+    return profile.unit_profile(pages).withColumn("needs_normalization", F.array_join(several, ","))
 
 
 @query
