@@ -474,10 +474,10 @@ def test_prefixes_along_all_copies(spark):
 def test_limits_of_a_source(spark):
     """Several limits of one source, one of them in bytes; the evidence names them."""
     full = [(i, f"The line {i} carries oil to the pump. Keep the valve dry.", "S") for i in range(40)]
-    cut = [(100 + i, (f"Row {i}: die Pumpe läuft, " + "mit Öl und Dampf " * 20)[:120], "S") for i in range(3)]
-    cut += [(200 + i, (f"Row {i}: die Pumpe läuft, " + "ü" * i + "mit Öl und Dampf " * 20).encode()[: 200 - i].decode(errors="ignore"), "S") for i in range(3)]
+    body = lambda i: f"Line {i} is shut. Die Pumpe läuft {'ü' * i}" + " mit Öl und Dampf" * 20
+    cut = [(100 + i, body(i)[:120], "S") for i in range(3)] + [(200 + i, body(10 + i).encode()[:200].decode(errors="ignore"), "S") for i in range(3)]
     rows = {r.doc_id: r for r in truncation.text_ends(spark.createDataFrame(full + cut, "doc_id bigint, text string, source string")).collect()}
-    assert {i for i, r in rows.items() if r.cut} == {c[0] for c in cut} and {rows[c[0]].evidence for c in cut[:3]} == {"limit"}
+    assert {i: r.evidence for i, r in rows.items() if r.cut} == {c[0]: "limit" for c in cut}
 
 
 # --- queries
