@@ -12,8 +12,9 @@ Three steps:
 3. ``convert_mentions``: the dictionary is joined to all mentions, numbers are
    read with the decimal mark of their source, and values converted.
 
-No spelling is left out for its length: the distance of a spelling to a name is at
-least 0.05 for each sign it is longer, so the bound of ``UnitIndex`` is exact.
+No spelling is left out that a name is near: the distance of a spelling to a name is
+at least 0.05 for each sign it is longer, and at least 0.3 for each letter, so the
+bounds of ``UnitIndex`` are exact.
 """
 
 from __future__ import annotations
@@ -75,8 +76,8 @@ COMPOUND = {"US gpm": ("US gal", "min")}
 _SAME = str.maketrans({"²": "2", "³": "3", "º": "°", "˚": "°"})
 _PER = re.compile(r"\s+(?:per|pro)\s+|\s*/\s*", re.I)
 _GLUE = " ._()[]-"
-#: What a sign of a spelling costs at least that its name lacks; it bounds the length of what can still be a unit.
-GLUE_COST = 0.05
+#: What a sign of a spelling, and a letter, costs at least that its name lacks; they bound the length of what can still be a unit.
+GLUE_COST, PLURAL_COST = 0.05, 0.3
 
 
 def spelling(text: str) -> str:
@@ -102,6 +103,11 @@ def names_of(unit: str) -> list[str]:
     return list(dict.fromkeys(spelling(n) for n in names))
 
 
+def _letters(s: str) -> int:
+    """Signs of a spelling that are no glue."""
+    return len(s) - sum(map(s.count, _GLUE))
+
+
 def bigrams(s: str) -> list[str]:
     """Distinct bigrams of a spelling without case and glue, with its ends marked."""
     bare = "^" + "".join(c for c in s.lower() if c not in _GLUE) + "$"
@@ -116,7 +122,7 @@ def distance(a: str, b: str) -> float:
         if c in _GLUE:
             return GLUE_COST
         ends = i + 1 == len(s) or s[i + 1] == "/"
-        return 0.3 if c in "sS" and ends and i >= 2 and s[i - 1].isalpha() and s[i - 2].isalpha() else 1.0
+        return PLURAL_COST if c in "sS" and ends and i >= 2 and s[i - 1].isalpha() and s[i - 2].isalpha() else 1.0
 
     row = [0.0]
     for j in range(len(b)):
@@ -144,10 +150,11 @@ class UnitIndex:
             for gram in bigrams(name):
                 self.posting.setdefault(gram, []).append(i)
         self.longest = max((len(name) + most / GLUE_COST for name, _, _, most in self.names), default=0)
+        self.letters = max((_letters(name) + most / PLURAL_COST for name, _, _, most in self.names), default=0)
 
     def proposals(self, s: str) -> list[int]:
         """Names that share at least half of the bigrams of the richer of both; none for what is too long to be any name."""
-        if not s or len(s) > self.longest:
+        if not s or len(s) > self.longest or _letters(s) > self.letters:
             return []
         own = bigrams(s)
         shared = Counter(i for gram in own for i in self.posting.get(gram, ()))
@@ -239,7 +246,7 @@ def mentions(text: str, index: UnitIndex, memo: dict[str, str] | None = None) ->
             for m in _AFTER.finditer(line):
                 words = m["unit"].split(" ")
                 add(m, *(" ".join(words[:n]) for n in range(len(words), 0, -1)))
-            for m in _BEFORE.finditer(line):
+            for m in _BEFORE.finditer(line) if ":" in line or "=" in line else ():
                 add(m, m["round"] or m["square"] or m["comma"])
         row = cells_of(line)
         if row is None or _RULE.match(line):

@@ -62,6 +62,10 @@ def test_index_proposes_whatever_is_near(tables):
             at = rng.randrange(len(name) + 1)
             s = name[:at] + rng.choice(" ._-") + name[at:]
             assert Q.distance(s, name) > most or index.unit(s) is not None
+    for name, unit, _, most in index.names:  # whatever the bounds leave out is far from every name
+        for s in (name + " at the feed pump", name + "s" * 4, name + "." * 30, name.upper() + "s"):
+            near = min((Q.distance(s, n), u) for n, u, _, m in index.names if Q.distance(s, n) <= m) if any(Q.distance(s, n) <= m for n, _, _, m in index.names) else None
+            assert index.proposals(s) or near is None
     assert index.unit("x" * 100_000) is None and index.unit("") is None and Q.UnitIndex([]).unit("bar") is None
 
 
