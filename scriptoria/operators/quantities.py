@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import plain
-from ..session import distinct_by, materialize, require
+from ..session import distinct_by, materialize, require, spread
 
 # Names under which a unit, or a part of a compound unit, is written.
 PARTS = {
@@ -300,7 +300,7 @@ def extract_mentions(rows: DataFrame, units: DataFrame, id_col: str = "row_id",
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names))), *map(pa.array, cols, kinds)], names=[*names, "number", "longest", "spelling", "rank"])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return require(rows, *names, text_col).filter(F.col(text_col).rlike(r"[0-9０-９]")).mapInArrow(run, f"{types}, number string, longest string, spelling string, rank int")
+    return spread(require(rows, *names, text_col).filter(F.col(text_col).rlike(r"[0-9０-９]"))).mapInArrow(run, f"{types}, number string, longest string, spelling string, rank int")
 
 
 def read_number(number: Column, decimal_mark: Column) -> Column:
