@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ..session import require
+from ..session import require, spread
 
 #: Folder of the vocabulary files; each worker reads its own copy.
 TOKENIZER_DIR = os.environ.get("SCRIPTORIA_TOKENIZERS", "/opt/tokenizers")
@@ -166,7 +166,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder
     Null and empty texts get an empty list; a blank text is encoded as it stands;
     strings of special tokens are ordinary text.  A null id stays null, repeated
     rows stay repeated, an empty table gives an empty result.  Texts are encoded
-    whole.  No shuffle: one pass over the two columns.
+    whole.  One pass over the two columns, without a shuffle unless the table comes in fewer parts than there are cores.
     """
     path = os.path.join(folder, f"{vocabulary}.tiktoken")
     kind = documents.schema[id_col].dataType.simpleString()
@@ -183,4 +183,4 @@ def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    return require(documents, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(require(documents, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
