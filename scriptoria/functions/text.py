@@ -6,9 +6,11 @@ All functions map a string column to a column; null and empty texts stay as they
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -39,6 +41,14 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the column ``_text`` in composed form."""
+    for batch in batches:
+        at = batch.schema.get_field_index("_text")
+        made = [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in batch.column(at).to_pylist()]
+        yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
+
+
 def remove_control(text: Column) -> Column:
     """Every sign of a Unicode category C, except line feed, carriage return and tab, becomes a space."""
     return F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", " ")
@@ -47,7 +57,10 @@ def remove_control(text: Column) -> Column:
 def fix_unicode(text: Column) -> Column:
     """Composed accents, mis-decoded sequences repaired in order, zero-width signs deleted."""
     # Only texts with other than ASCII signs go to Python; for the rest it sees a null.
-    text = F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    return _repair(F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text))
+
+
+def _repair(text: Column) -> Column:
     for bad, good in MOJIBAKE:
         text = F.replace(text, F.lit(bad), F.lit(good))
     return F.regexp_replace(text, "[​‌‍﻿]", "")
@@ -148,21 +161,43 @@ def restore(text: Column, kept: Column) -> Column:
     return F.aggregate(kept, text, lambda t, k: F.replace(t, k["mark"], k["part"]))
 
 
+def _protected(text: Column, equations: bool = True, tables: bool = True) -> Column:
+    """Struct of the text with placeholders (``text``) and the kept parts of equations and of tables (``first``, ``second``)."""
+    none = F.array().cast(_KEPT)
+
+    def after(first: Column) -> Column:
+        # A text without a line of two pipes has no table: it stays as it is.
+        second = F.when(first["text"].rlike(r"\|[^\n]*\|"), protect_tables(first["text"])).otherwise(F.struct(first["text"].alias("text"), none.alias("kept"))) if tables else F.struct(first["text"].alias("text"), none.alias("kept"))
+        return _bound(second, lambda s: F.struct(s["text"].alias("text"), first["kept"].alias("first"), s["kept"].alias("second")))
+
+    return _bound(protect_equations(text) if equations else F.struct(text.alias("text"), none.alias("kept")), after)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, as a lambda variable, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_technical(text: Column, equations: bool = True, tables: bool = True, **switches: bool) -> Column:
     """``normalize_text`` that leaves equations and pipe tables as they are.
 
     Equations are put back before tables, so an equation inside a table keeps its placeholder.
     """
-    current, first, second = text, None, None
-    if equations:
-        first = protect_equations(current)
-        current = first["text"]
-    if tables:
-        second = protect_tables(current)
-        current = second["text"]
-    out = normalize_text(current, **switches)
-    if first is not None:
-        out = restore(out, first["kept"])
-    if second is not None:
-        out = restore(out, second["kept"])
+    state = _protected(text, equations, tables)
+    out = restore(restore(normalize_text(state["text"], **switches), state["first"]), state["second"])
     return F.when(F.coalesce(text, F.lit("")) == "", text).otherwise(out)
+
+
+def with_technical(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Rows with ``normalize_technical`` of a text as a further column, for whole tables.
+
+    Each step is made once, and rows pass through Python as a stream.  A column
+    function with a Python part keeps whole rows in a queue until their values
+    are back, on disk where memory is short.
+    """
+    made = rows.withColumn("_state", _protected(F.col(text_col)))
+    made = made.select(*rows.columns, remove_control(F.col("_state.text")).alias("_text"), F.col("_state.first").alias("_first"), F.col("_state.second").alias("_second"))
+    made = made.mapInArrow(_compose, made.schema)
+    clean = strip(fix_punctuation(fix_spaces(_repair(F.col("_text")))))
+    out = restore(restore(clean, F.col("_first")), F.col("_second"))
+    return made.select(*rows.columns, F.when(F.coalesce(text_col, F.lit("")) == "", F.col(text_col)).otherwise(out).alias(name))

@@ -149,13 +149,18 @@ def heading_classify(spark, root):
 
 for _name, _f in {
     "text_control_chars": text.remove_control, "text_unicode_fix": text.fix_unicode, "text_whitespace": text.fix_spaces, "text_punctuation": text.fix_punctuation,
-    "text_normalize": text.normalize_text, "text_technical": text.normalize_technical, "unit_superscript": units.fix_superscripts, "unit_map": units.map_units,
+    "text_normalize": text.normalize_text, "unit_superscript": units.fix_superscripts, "unit_map": units.map_units,
     "unit_spacing": units.fix_spacing, "unit_special": units.fix_special, "unit_normalize": units.normalize_units, "tag_normalize": tags.normalize_tag, "tag_replace": tags.replace_tags,
     "md_list_format": markdown.format_list_item,
 }.items():
     QUERIES[_name] = _stage(_f)
 
 
+@query
+def text_technical(spark, root):
+    return text.with_technical(_distinct_texts(spark, root), "text", "result").select("origin", "row_id", "result")
+
+
 @query
 def text_paragraphs(spark, root):
     return _distinct_texts(spark, root).select("origin", "row_id", F.posexplode(text.paragraphs(F.col("text"))).alias("seq", "paragraph"))

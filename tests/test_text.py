@@ -42,6 +42,16 @@ def test_protected_parts(apply):
     assert got == ["cost $a , b$, then", "\\( x , y \\), z", "a, b\n| x , y | z |\n|---|---|\n| 1 , 2 | 3 |\nend, here", "| __MATH_0__ | r |", "", None]
 
 
+def test_technical_of_tables(spark):
+    """Rows in a stream give the texts of the column function; no operator queues whole rows for Python."""
+    texts = ["cost $a , b$ , then", "\\( x , y \\) ,z", "a ,b\n| x , y | z |\n|---|---|\n| 1 , 2 | 3 |\nend ,here", "| $p , q$ | r |", "", None, "e\u0301 ,a\u0007b | c", "a |\n| b , c", "$ , $ | x |\n\n---\n ."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = text.with_technical(df, "text", "out")
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    want = df.select("i", text.normalize_technical(F.col("text")).alias("out"))
+    assert sorted((r.i, r.out) for r in got.collect()) == sorted((r.i, r.out) for r in want.collect())
+
+
 def brute_spans(t, p):
     return [(m.group(), m.start(), m.end()) for m in re.finditer(p, t)]
 
