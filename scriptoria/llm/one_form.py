@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.lookalike import LETTERS, TWO_SHAPES, plain_signs
 from ..session import distinct_by, materialize, require, spread
 
-#: Letters of the scripts with Latin twins, for the JVM's and Python's regex.
+#: Letters of the scripts with Latin twins.
 FOREIGN = "[\\u0370-\\u03ff\\u0400-\\u058f\\u13a0-\\u13ff\\u1f00-\\u1fff]"
-_FOREIGN = re.compile(FOREIGN)
 _TOKEN = re.compile(r"\S+")
 #: Cost of a change of script inside a token, in log units.
 SWITCH = 8.0
@@ -70,20 +69,31 @@ def _bigrams(token: str) -> Iterator[str]:
 
 
 def train_scores(texts: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Bigram log scores of tokens in one script, from all texts that hold letters of another script.
+    """Bigram log scores of tokens in one script, from all texts.
 
     The result is bounded by the alphabets: pairs of letters met at least twice.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        tokens: Counter = Counter()
+
+        def flush() -> None:
+            for token, n in tokens.items():
+                for pair in _bigrams(token):
+                    seen[pair] += n
+            tokens.clear()
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for token in _TOKEN.findall(plain_signs(text)):
-                    seen.update(_bigrams(token))
+                tokens.update(_TOKEN.findall(plain_signs(text)))
+                if len(tokens) > 100_000:
+                    flush()
+        flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pair", "n"])
 
-    pairs = require(texts, text_col).filter(F.col(text_col).rlike(FOREIGN)).mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1")
+    known = spread(require(texts, text_col).filter(F.col(text_col).isNotNull()))
+    pairs = known.mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = {r[0]: r[1] for r in pairs.collect()}
     first: Counter = Counter()
     for p, n in counts.items():

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, and their edge cases."""
 
+import math
 import os
 import random
 import re
@@ -90,6 +91,18 @@ def test_forms_by_compatibility_and_shape():
         assert f.form(a) != f.form(b), (a, b)
 
 
+def test_scores_count_every_text(spark):
+    """Texts without letters of another script count too, and decide the palochka."""
+    texts = ["level level", "line valve", None, "", "Клапан", "level"]
+    scores = one_form.train_scores(spark.createDataFrame([(t,) for t in texts], "text string"))
+    count = Counter(p for t in texts for w in (t or "").split() for p in one_form._bigrams(w))
+    first = Counter()
+    for p, n in count.items():
+        first[p[0]] += n * (n > 1)
+    assert scores == {p: math.log((n + 1) / (first[p[0]] + 64)) for p, n in count.items() if n > 1}
+    assert one_form.Forms(scores).form("Ӏevel") == "level"
+
+
 def test_scores_decide_between_shapes():
     """The palochka is read as the letter that the bigrams make likely in its token."""
     f = one_form.Forms({" l": -1.0, "le": -1.0, "ie": -9.0, " i": -2.0, "in": -1.0, "ln": -9.0})
