@@ -46,3 +46,9 @@ def test_entry(spark, data):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 5
+
+
+def test_distinct_context_moves_no_text(spark, data):
+    """Digests are made below the join of hits and texts."""
+    plan = registry.QUERIES["distinct_context"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("Join Inner, (doc#") < plan.find("sha2(")
